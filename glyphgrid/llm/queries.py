@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -16,12 +22,26 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .robust_quality import judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
     return dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .trie_bpe import encode_digests
+
+    return encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan
 
@@ -34,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_cost_balanced_packing, op6_exact_dedup, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_cost_balanced_packing, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op10_language_id)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

@@ -15,6 +15,7 @@ on their own. Very long texts give many whole pieces. An empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -30,7 +31,8 @@ LENGTH = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_BYTES = 3_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+ROWS_AT_ONCE = 128
 
 #: Letters and numbers of Latin-1 in lower-cased text, as the tokenizer's own split pattern has them.
 _LETTERS, _NUMBERS, _BLANK = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -47,15 +49,31 @@ class WordTokens:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
+            self.known, self.older = {}, self.known
+        words = words.difference(self.known)
+        if self.older:
+            again = {w for w in words if w in self.older}
+            self.known.update({w: self.older[w] for w in again})
+            words = words - again
+        new = list(words)
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):  # each word ends in a token of the end of a word
+                data, step = ids.tobytes(), self.kind.itemsize
+                at = [0, *(cuts * step).tolist()]
+                self.known.update(zip(some, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                for w in some:
+                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -78,6 +96,12 @@ class WordTokens:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, for all its tasks."""
+    return WordTokens(path)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -88,21 +112,22 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def tokenised(docs: DataFrame, path: str, groups: int, length: int, end_id: int) -> DataFrame:
     def make():
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
 
         def work(batch: pa.RecordBatch):
             out = {k.split()[0]: [] for k in PIECES.split(", ")}
-            ids, grp = batch["doc_id"].to_pylist(), batch["grp"].to_pylist()
-            texts = batch["text"].to_pylist()
-            for i in range(0, len(texts), 256):
-                for k, data in enumerate(tokens.encode(texts[i : i + 256]), i):
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                cells = zip(part["grp"].to_pylist(), part["doc_id"].to_pylist(), tokens.encode(part["text"].to_pylist()), strict=True)
+                for grp, doc_id, data in cells:
                     own = np.append(np.frombuffer(data, tokens.kind), tokens.kind.type(end_id))
                     for start in range(0, len(own), length):
-                        part = own[start : start + length]
-                        whole = len(part) == length
-                        for name, v in zip(out, (grp[k], ids[k], start, len(part), len(own), None if whole else part.tobytes(), crc(part) if whole else None), strict=True):
+                        piece = own[start : start + length]
+                        whole = len(piece) == length
+                        row = (grp, doc_id, start, len(piece), len(own), None if whole else piece.tobytes(), crc(piece) if whole else None)
+                        for name, v in zip(out, row, strict=True):
                             out[name].append(v)
-                if sum(map(len, filter(None, out["ids"]))) > 8 << 20:
+                if len(out["grp"]) >= 2000:
                     yield out
                     out = {k: [] for k in out}
             yield out

@@ -17,6 +17,7 @@ aren't read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -29,7 +30,8 @@ from .common import by_batch
 
 #: The split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+ROWS_AT_ONCE = 256
 NEVER = 1 << 60
 
 
@@ -71,6 +73,7 @@ class TrieBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def joins(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode as a, b. Walks back in time along a's right edge and b's left
@@ -158,14 +161,27 @@ class TrieBpe:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        new = sorted({w.encode() for w in words if w not in self.known})
+        if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
+            self.known, self.older = {}, self.known
+        words = words.difference(self.known)
+        if self.older:
+            again = {w for w in words if w in self.older}
+            self.known.update({w: self.older[w] for w in again})
+            words = words - again
+        new = sorted(w.encode() for w in words)
         for word, ids in zip(new, self.encode_words(new), strict=True):
             if self.decode(ids) != word:
                 raise ValueError(f"{word!r} doesn't come back from {ids}")
             self.known[word.decode()] = ",".join(map(str, ids))
 
+    def learn_from(self, texts: list[str | None]) -> None:
+        """One walk of the trie for the new words of many texts."""
+        words: set[str] = set()
+        for text in texts:
+            if text and not any(a in text for a in self.added):
+                words.update(self.words(text))
+        self.learn(words)
+
     def words(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
@@ -192,6 +208,12 @@ class TrieBpe:
         return ",".join(ids), "".join(back)
 
 
+@functools.lru_cache(maxsize=1)
+def trie_bpe(path: str) -> TrieBpe:
+    """One for each worker process, for all its tasks."""
+    return TrieBpe(path)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by commas), decoded text of every row."""
     return _encoded(docs, path, digests=False)
@@ -206,26 +228,20 @@ def _encoded(docs: DataFrame, path: str, digests: bool) -> DataFrame:
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def make():
-        bpe = TrieBpe(path)
+        bpe = trie_bpe(path)
 
         def work(batch: pa.RecordBatch):
-            texts = batch["text"].to_pylist()
-            fresh: set[str] = set()
-            size = 0
-            for text in texts:  # one walk of the trie for the new words of about a million characters
-                if text and not any(a in text for a in bpe.added):
-                    fresh.update(bpe.words(text))
-                    size += len(text)
-                    if size > 1 << 20:
-                        break
-            bpe.learn(fresh)
-            n, first, second = [], [], []
-            for text in texts:
-                ids, back = bpe.encode(text or "")
-                n.append(ids.count(",") + 1 if ids else 0)
-                first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
-                second.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
-            yield {"doc_id": batch["doc_id"], "n_tokens": n, names[0]: first, names[1]: second}
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                texts = part["text"].to_pylist()
+                bpe.learn_from(texts)
+                n, ids_of, backs = [], [], []
+                for text in texts:
+                    ids, back = bpe.encode(text or "")
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    ids_of.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
+                    backs.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
+                yield {"doc_id": part["doc_id"], "n_tokens": n, names[0]: ids_of, names[1]: backs}
 
         return work
 

@@ -36,6 +36,8 @@ STEPS = 2
 REWEIGHT = 12.83
 CUTOFF = 40.0
 LEAST = 50
+#: groups up to which their estimates are broadcast (about 25 numbers each); beyond, Spark joins them by shuffle
+BROADCAST_GROUPS = 100_000
 #: standard deviations that a statistic is at least taken to have, in the order of `transformed`
 FLOORS = (0.6, 0.12, 0.25, 0.35, 0.35)
 NAMES = tuple(f"x{i}" for i in range(len(FLOORS)))
@@ -98,13 +100,17 @@ def transformed(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[x.alias(k) for k, x in zip(NAMES, made, strict=True)])
 
 
+def joinable(groups: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(groups) if few else groups
+
+
 def keys(df: DataFrame) -> DataFrame:
     return df.withColumns({"g_lang": F.coalesce("lang", F.lit("\x00")), "g_source": F.coalesce("source", F.lit("\x00"))})
 
 
-def distances(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def distances(rows: DataFrame, fit: DataFrame, few: bool) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to the fit of their group (null without one)."""
-    joined = rows.join(fit, ["g_lang", "g_source"], "left")
+    joined = rows.join(joinable(fit, few), ["g_lang", "g_source"], "left")
     y = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(NAMES)]
     terms = [F.col(f"p{i}{j}") * y[i] * y[j] * (1 if i == j else 2) for i in range(len(y)) for j in range(i + 1)]
     return joined.select(*rows.columns, sum(terms[1:], terms[0]).alias("d2"))
@@ -125,7 +131,7 @@ def precision(moments: DataFrame, factor: float) -> DataFrame:
     return fit.select("g_lang", "g_source", *[f"m{i}" for i in d], *[f"p{i}{j}" for i in d for j in range(i + 1)])
 
 
-def fitted(rows: DataFrame) -> DataFrame:
+def fitted(rows: DataFrame, few: bool) -> DataFrame:
     """MCD centre and precision of each (g_lang, g_source) with LEAST rows or more."""
     d, by = range(len(NAMES)), ["g_lang", "g_source"]
     quartiles = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, x in enumerate(NAMES)]).where(F.col("n") >= LEAST)
@@ -133,10 +139,10 @@ def fitted(rows: DataFrame) -> DataFrame:
     fit = stage(quartiles.select(*by, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in d], *[(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i in d for j in range(i + 1)]), "mcd")
     sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in d for j in range(i + 1)]]
     for step in range(STEPS + 1):
-        near = distances(rows, fit).where(F.col("d2").isNotNull())
+        near = distances(rows, fit, few).where(F.col("d2").isNotNull())
         if step < STEPS:
             cut = near.groupBy(*by).agg(F.percentile_approx("d2", H, 2000).alias("cut"))
-            near, factor = near.join(cut, by).where(F.col("d2") <= F.col("cut")), CONSISTENT
+            near, factor = near.join(joinable(cut, few), by).where(F.col("d2") <= F.col("cut")), CONSISTENT
         else:
             near, factor = near.where(F.col("d2") <= REWEIGHT), 1.0
         fit = stage(precision(near.groupBy(*by).agg(*sums), factor), "mcd")
@@ -147,7 +153,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, base statistics, base_failed, d2 and kept of every row."""
     rows = stage(keys(transformed(statistics(docs))), "quality")
     by = ["g_lang", "g_source"]
+    few = rows.select(*by).distinct().count() <= BROADCAST_GROUPS
     small = stage(rows.groupBy(*by).agg(F.count_if(~F.col("base_failed")).alias("n")).where(F.col("n") < LEAST), "small")
-    rows = rows.join(small, by, "left").withColumn("g_source", F.when(F.col("n").isNull(), F.col("g_source")).otherwise("\x01")).drop("n")
-    fit = fitted(rows.where(~F.col("base_failed")))
-    return distances(rows, fit).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("g_lang", "g_source", *NAMES)
+    rows = rows.join(joinable(small, few), by, "left").withColumn("g_source", F.when(F.col("n").isNull(), F.col("g_source")).otherwise("\x01")).drop("n")
+    fit = fitted(rows.where(~F.col("base_failed")), few)
+    return distances(rows, fit, few).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("g_lang", "g_source", *NAMES)

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -54,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_cost_balanced_packing, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_cost_balanced_packing, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op10_language_id)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

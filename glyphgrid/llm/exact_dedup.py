@@ -31,6 +31,8 @@ from .common import SPACES, stage, text_or_empty
 BUCKET_KEYS, LEAST_BUCKETS = 1 << 15, 256
 #: bytes of filters that may be broadcast to screen texts for the byte check; above it all texts are compared
 BROADCAST_FILTER_BYTES = 32 << 20
+#: rows that go up to which their keys are broadcast (about 100 bytes each)
+BROADCAST_IDS = 500_000
 
 
 def normalised() -> Column:
@@ -127,16 +129,22 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: an anti-join on the rows that go, which are broadcast only
+    up to BROADCAST_IDS; texts don't move then."""
     found = stage(dedup(docs), "membership")
-    stays = found.where("kept").select("doc_id", "digest")
-    again = found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest").distinct()
-    own = docs.columns
-    rows = docs.withColumn("__digest", F.sha2(normalised(), 256))
-    stays = stays.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"))
-    kept = rows.join(stays, (rows["__digest"] == stays["__key"]) & rows["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    if not again.isEmpty():
-        marks = again.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"))
-        same = (kept["__digest"] == marks["__key"]) & kept["doc_id"].eqNullSafe(marks["__id"])
-        kept = kept.join(marks, same, "left_anti").unionByName(kept.join(marks, same, "left_semi").dropDuplicates(["doc_id", "__digest"]))
-    return kept.select(*own)
+    gone = found.where(~F.col("kept"))
+    # a row that repeats both doc_id and text of the one that stays can't be told from it by key
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = without(docs.withColumn("__digest", F.sha2(normalised(), 256)), gone.where(~again), "digest")
+    twice = gone.where(again).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).distinct()
+    if not twice.isEmpty():
+        same = (rows["__digest"] == twice["__key"]) & rows["doc_id"].eqNullSafe(twice["__id"])
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return rows.drop("__digest")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows (with doc_id and __key, key being the name of the last argument) but for those of gone (with doc_id and key)."""
+    few = gone.count() <= BROADCAST_IDS
+    marks = gone.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key")).distinct()
+    return rows.join(F.broadcast(marks) if few else marks, (rows[f"__{key}"] == marks["__key"]) & rows["doc_id"].eqNullSafe(marks["__id"]), "left_anti")

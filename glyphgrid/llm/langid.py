@@ -142,3 +142,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
+
+
+def accepted_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a letter and whose language scores `least` or more (without
+    any training row: has a letter)."""
+    model = train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
+
+    def run(batches):
+        own = LanguageModel(*shared.value)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            good = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
+            if own.languages and good.any():
+                good[good] = own.scores([t for t, g in zip(texts, good, strict=True) if g]).max(axis=1) >= least
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, mixed, slices, stage, windows, words_of
+from .exact_dedup import without
 from .graph import components
 
 SHINGLE = 5
@@ -83,7 +84,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, set_id, bands, sig of every row, staged (set_id, bands, sig are null for texts without words)."""
+    """uid, doc_id, th (a hash of the text), set_id, bands, sig of every row, staged (set_id, bands, sig are null for texts without words)."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -97,12 +98,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                     for i, k, v in zip(some, band_keys(values), values.astype(np.uint8), strict=True):
                         bands[i], sig[i] = k, v.tobytes()
                 end = start + len(parts)
-                yield {"uid": batch["uid"][start:end], "doc_id": batch["doc_id"][start:end], "set_id": [set_id(s) for s in sets], "bands": bands, "sig": sig}
+                yield {**{c: batch[c][start:end] for c in ("uid", "doc_id", "th")}, "set_id": [set_id(s) for s in sets], "bands": bands, "sig": sig}
 
         return work
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return stage(by_batch(rows, "uid long, doc_id long, set_id string, bands array<long>, sig binary", make), "sketches")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    return stage(by_batch(rows, "uid long, doc_id long, th long, set_id string, bands array<long>, sig binary", make), "sketches")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,7 +244,7 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, class_id, n_links, kept (one row of each class) of every row."""
+    """uid, doc_id, th, class_id, n_links, kept (one row of each class) of every row."""
     rows = sketched(docs)
     nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -266,7 +267,16 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = stage(nodes.select("set_id", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("class")), "linked")
     firsts = nodes.groupBy("class").agg(F.min("first").alias("head"))
     nodes = nodes.join(firsts, "class").select("set_id", "head", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
-    named = rows.select("uid", "doc_id", "set_id").where("set_id is not null").join(nodes, "set_id")
-    named = named.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("head.uid")).alias("kept"))
-    alone = rows.where("set_id is null").select("uid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    named = rows.select("uid", "doc_id", "th", "set_id").where("set_id is not null").join(nodes, "set_id")
+    named = named.select("uid", "doc_id", "th", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("head.uid")).alias("kept"))
+    alone = rows.where("set_id is null").select("uid", "doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return named.unionByName(alone)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all columns; rows that repeat both doc_id and text stay or go together."""
+    found = stage(join(docs), "near")
+    stays = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    gone = found.where(~F.col("kept"))
+    gone = gone.join(stays, gone["doc_id"].eqNullSafe(stays["__id"]) & (gone["th"] == stays["__th"]), "left_anti")
+    return without(docs.withColumn("__th", F.xxhash64("text")), gone, "th").drop("__th")

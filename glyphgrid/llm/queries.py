@@ -28,6 +28,12 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfp_dedup import dedup
+
+    return dedup(documents(spark, sf_dir)).drop("uid")
+
+
 def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .robust_quality import judge
 
@@ -54,13 +60,19 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_dedup import dedup
+
+    return dedup(documents(spark, sf_dir)).drop("uid")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_cost_balanced_packing, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_cost_balanced_packing, op4_prefix_free_dedup, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op9_fm_index_dedup, op10_language_id)}
 
 ORACLES = {
     "op6_exact_dedup": r"""

@@ -15,7 +15,6 @@ Texts are scanned whole whatever their length. Every input row gives one row; ex
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 
 import pyarrow as pa
@@ -152,5 +151,19 @@ def masked(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def masked_rows(docs: DataFrame) -> DataFrame:
+    """docs with every reported secret masked in text, and n_chars (if there) made the new length."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            text = [masked(t) for t in batch["text"].to_pylist()]
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(text, batch.schema.field("text").type)
+            if "n_chars" in names:
+                size = pa.array([None if t is None else len(t) for t in text], batch.schema.field("n_chars").type)
+                old = batch["n_chars"]
+                columns[names.index("n_chars")] = pa.array([a if t == u else b for a, b, t, u in zip(old.to_pylist(), size.to_pylist(), text, batch["text"].to_pylist(), strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

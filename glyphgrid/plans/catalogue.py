@@ -1,4 +1,434 @@
-"""Catalogue of queries and their SQL."""
+"""Catalogue: one query for each operator, over whole tables and whole texts, and its SQL for DuckDB."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import size_text, time_text
+from ..operators import alphabet, count, factorize, locate, patterns, ranges, stats, suffix
+from ..operators.kernels import code_points, lz77, per_text
+from ..sources.texts import benchmark, conversations, documents
+from ..streaming.counts import drained, running_counts, text_stream
+from . import oracle
+from .text_index import TextIndex
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+PATTERNS = ("the", "ion", "e", "zzzz")
+SHORT = ("th", "e", "ion", "an", "zz")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- counting -------------------------------------------------------------------------------------------------------
+
+
+@query(oracle.count_patterns(PATTERNS))
+def count_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return count.count_patterns(documents(spark, sf), list(PATTERNS))
+
+
+@query(oracle.count_per_doc("an"))
+def count_per_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return count.count_per_text(documents(spark, sf), "an")
+
+
+@query(oracle.overlapping_and_disjoint(("anan", "enen", "ll", "the")))
+def count_overlapping_vs_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    return count.overlapping_and_disjoint(documents(spark, sf), ["anan", "enen", "ll", "the"])
+
+
+@query(oracle.COUNT_BATCH_FIXED)
+def count_batch_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    texts = documents(spark, sf)
+    return count.count_batch(texts, patterns.sample(texts, 12))
+
+
+@query(oracle.COUNT_BATCH_VARLEN)
+def count_batch_varlen(spark: SparkSession, sf: str) -> DataFrame:
+    texts = conversations(spark, sf)
+    return count.count_batch(texts, patterns.sweep(texts, 0, 6))
+
+
+@query(oracle.COUNT_ABSENT)
+def count_absent_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = spark.createDataFrame([(1, "a☃"), (2, "the"), (3, "Жук"), (4, "tion of")], "pattern_id long, pattern string")
+    return count.absent_symbols(documents(spark, sf), wanted)
+
+
+@query(oracle.GRAMS_4)
+def gram_counts_4(spark: SparkSession, sf: str) -> DataFrame:
+    return count.gram_counts(documents(spark, sf), 4)
+
+
+@query(oracle.index_count(PATTERNS))
+def index_count(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = spark.createDataFrame(list(enumerate(PATTERNS)), "pattern_id long, pattern string")
+    return TextIndex.build(conversations(spark, sf), 4).count(wanted)
+
+
+@query(oracle.decomposition(SHORT, 7))
+def count_decomposition(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = factorize.factors(documents(spark, sf), 7)
+    dictionary = factorize.lex_dictionary(blocks)
+    return count.decomposition(blocks, dictionary, factorize.sub_factors(dictionary), list(SHORT), 7)
+
+
+@query(oracle.range_counts(SHORT, prefix=True))
+def prefix_range_count(spark: SparkSession, sf: str) -> DataFrame:
+    return count.prefix_range_count(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4)), list(SHORT))
+
+
+@query(oracle.range_counts(SHORT, prefix=False))
+def suffix_range_count(spark: SparkSession, sf: str) -> DataFrame:
+    return count.suffix_range_count(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4)), list(SHORT))
+
+
+@query(oracle.DIFF_CHECK)
+def diff_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ways to count the same patterns, compared: mismatches and rows."""
+    texts = conversations(spark, sf)
+    wanted = patterns.sample(texts, 6)
+    one = count.broadcast_batch(texts, wanted)
+    grams = count.gram_counts(texts, 6)
+    other = wanted.join(grams, wanted["pattern"] == grams["gram"], "left").select("pattern_id", F.coalesce("cnt", F.lit(0)).alias("other"))
+    return one.join(other, "pattern_id", "full").agg(F.count_if(~F.col("occ").eqNullSafe(F.col("other"))).alias("mismatches"), F.count("*").alias("total"))
+
+
+@query(oracle.count_patterns(PATTERNS))
+def streaming_counts(spark: SparkSession, sf: str) -> DataFrame:
+    stream = text_stream(spark, sf, "documents.parquet")
+    return drained(running_counts(stream, list(PATTERNS)), "streaming_counts")
+
+
+# --- locating -------------------------------------------------------------------------------------------------------
+
+
+@query(oracle.locate("anan"))
+def locate_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.locate(documents(spark, sf), "anan")
+
+
+@query(oracle.locate("anan", 2))
+def locate_first_k(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.locate(documents(spark, sf), "anan", 2)
+
+
+@query("SELECT doc_id, substr(text, CAST(length(text) // 2 AS BIGINT) + 1, 20) AS part FROM documents")
+def extract_range(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.extract_range(documents(spark, sf), F.floor(F.length("text") / 2), F.lit(20))
+
+
+@query(oracle.display_context("anan", 10))
+def display_context(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.display_context(documents(spark, sf), "anan", 10)
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
+def doc_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.doc_listing(documents(spark, sf), "License")
+
+
+@query(oracle.doc_counts(("License", "token", "zzzz", "e")))
+def doc_count(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.doc_counts(documents(spark, sf), ["License", "token", "zzzz", "e"])
+
+
+@query(oracle.LISTING_RUNS)
+def doc_listing_rle(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.listing_runs(locate.doc_listing(documents(spark, sf), "the"))
+
+
+@query(oracle.CONTAINMENT)
+def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return locate.containment(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+# --- alphabet and factorisation -------------------------------------------------------------------------------------
+
+
+@query(oracle.SYMBOL_TABLE)
+def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
+    return alphabet.symbol_table(documents(spark, sf))
+
+
+@query(oracle.ENCODE)
+def encode_text(spark: SparkSession, sf: str) -> DataFrame:
+    return alphabet.encoded(conversations(spark, sf))
+
+
+@query(oracle.TEXT_PARAMS)
+def text_params_n_sigma(spark: SparkSession, sf: str) -> DataFrame:
+    return alphabet.text_params(documents(spark, sf))
+
+
+@query(oracle.WIDTH)
+def effective_width(spark: SparkSession, sf: str) -> DataFrame:
+    return alphabet.text_params(documents(spark, sf)).select("doc_id", alphabet.width(F.col("sigma")).alias("width"))
+
+
+@query(oracle.SL_TYPES)
+def sl_types(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.sl_types(conversations(spark, sf))
+
+
+@query(oracle.LMS)
+def lms_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.lms(conversations(spark, sf))
+
+
+@query(oracle.SL_FACTORS)
+def sl_factors(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.sl_factors(conversations(spark, sf))
+
+
+for _lam in (1, 4, 7, 8):
+    query(oracle.factors(_lam), f"factors_lambda{_lam}")(lambda spark, sf, lam=_lam: factorize.factors(conversations(spark, sf), lam))
+
+
+@query(oracle.LEX_DICTIONARY)
+def lex_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4))
+
+
+@query(oracle.COLEX_DICTIONARY)
+def colex_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.colex_dictionary(factorize.factors(documents(spark, sf), 4))
+
+
+@query(oracle.LEX_TEXT)
+def lex_text(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.lex_text(factorize.factors(conversations(spark, sf), 4))
+
+
+@query(oracle.SUB_FACTORS)
+def sub_factor_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.sub_factors(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 7)))
+
+
+@query(oracle.TRIE_DEPTH)
+def sub_factor_trie_depth(spark: SparkSession, sf: str) -> DataFrame:
+    inner = factorize.sub_factors(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 7)))
+    return inner.groupBy(F.length("sub").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
+
+
+@query(oracle.INDEX_PARAMS)
+def index_params(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.index_params(documents(spark, sf), 4).select("doc_id", "n", "sigma")
+
+
+@query(oracle.INDEX_RUNS)
+def index_bwt_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return factorize.index_params(benchmark(spark, sf), 4).select("doc_id", "r")
+
+
+# --- suffix order ---------------------------------------------------------------------------------------------------
+
+
+@query(oracle.suffixes("doc_id, row, pos"))
+def suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "pos")
+
+
+@query(oracle.suffixes("doc_id, pos, row AS rank"))
+def inverse_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.suffix_table(conversations(spark, sf)).select("doc_id", "pos", F.col("row").alias("rank"))
+
+
+@query(oracle.suffixes("doc_id, row, ch"))
+def bwt(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch")
+
+
+@query("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")
+def inverse_bwt(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.inverse_bwt(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+
+
+@query(oracle.BWT_RUNS_R)
+def bwt_runs_r(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.bwt_run_counts(conversations(spark, sf))
+
+
+@query(oracle.BWT_RUNS)
+def bwt_run_table(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.bwt_runs(suffix.suffix_table(conversations(spark, sf)))
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """For each text and a few symbols: a row in its middle and a number of occurrence."""
+    rows = conversations(spark, sf).select("doc_id", F.floor((F.length("text") + 1) / 2).alias("at"), F.lit(3).cast("long").alias("k"))
+    return rows.select("*", F.explode(F.array(*[F.lit(c) for c in "eta"])).alias("ch"))
+
+
+@query(oracle.RANK)
+def rank_query(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.rank(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"), asked(spark, sf).drop("k"))
+
+
+@query(oracle.SELECT)
+def select_query(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.select(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"), asked(spark, sf).drop("at"))
+
+
+@query(oracle.LF)
+def lf_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.lf_mapping(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+
+
+@query(oracle.PSI)
+def psi_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.psi_mapping(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+
+
+@query(oracle.lex_intervals(("the", "an", "que")))
+def lex_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.lex_intervals(conversations(spark, sf), ["the", "an", "que"])
+
+
+@query(oracle.LCP)
+def lcp_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.lcp_array(benchmark(spark, sf))
+
+
+@query(oracle.LONGEST)
+def longest_repeated_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.longest_repeats(benchmark(spark, sf))
+
+
+@query()
+def lz77_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: a greedy parse is sequential. Tests decode it again."""
+
+    def kernel(text: str) -> dict:
+        start, source, size = lz77(code_points(text))
+        return {"start": start, "source": source, "len": size}
+
+    return per_text(conversations(spark, sf), "doc_id long, start long, source long, len long", kernel)
+
+
+# --- ranges ---------------------------------------------------------------------------------------------------------
+
+
+def middle(spark: SparkSession, sf: str) -> DataFrame:
+    """BWT rows of each text in the second and third quarter, with n."""
+    n = conversations(spark, sf).select("doc_id", (F.length("text") + 1).cast("long").alias("n"))
+    rows = suffix.suffix_table(conversations(spark, sf)).join(n, "doc_id")
+    return rows.where((F.col("row") >= F.floor(F.col("n") / 4)) & (F.col("row") < F.floor(3 * F.col("n") / 4)))
+
+
+@query(oracle.RANGE_2D)
+def range_count_2d(spark: SparkSession, sf: str) -> DataFrame:
+    rows = middle(spark, sf)
+    n = F.col("n")
+    return ranges.range_count_2d(rows, "doc_id", "row", "pos", (F.floor(n / 3), F.floor(n / 2), F.lit(0), F.floor(n / 2)))
+
+
+@query(oracle.QUANTILE)
+def wt_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.quantile(middle(spark, sf), "doc_id", ["ch", "row"], F.lit(10), "ch")
+
+
+@query(oracle.INTERVAL_SYMBOLS)
+def wt_interval_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.interval_symbols(middle(spark, sf), "doc_id", "ch")
+
+
+@query(oracle.LEX_COUNT)
+def wt_lex_count(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.lex_count(middle(spark, sf), "doc_id", "ch", F.lit("m"))
+
+
+@query(oracle.INTERSECT)
+def wt_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols that both the first and the second turn of a conversation have in their ranges."""
+    rows = middle(spark, sf).withColumn("conv_id", F.floor(F.col("doc_id") / 1000)).withColumn("turn", F.pmod("doc_id", F.lit(1000)))
+    return ranges.intersect(rows.where("turn = 0"), rows.where("turn = 1"), ["conv_id", "ch"])
+
+
+@query(oracle.PRED_SUCC)
+def symbol_pred_succ(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.pred_succ(alphabet.text_symbols(documents(spark, sf)), "doc_id", "ch", ["B", "h", "~"])
+
+
+@query(oracle.RMQ)
+def rmq(spark: SparkSession, sf: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")
+    wanted = events.where("event_id % 97 = 0").select(F.col("event_id").alias("range_id"), F.col("event_id").alias("l"), (F.col("event_id") + 1499).alias("r"))
+    return ranges.range_minimum(events, "event_id", "value", wanted)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_partkey BETWEEN 10 AND 1500 AND l_suppkey BETWEEN 5 AND 80 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+def topk_points(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return ranges.top_k(rows, F.col("l_partkey").between(10, 1500) & F.col("l_suppkey").between(5, 80), "l_extendedprice", ["l_orderkey", "l_linenumber"], 10)
+
+
+@query('SELECT o_custkey AS node, count(*) AS degree, min(o_orderkey) AS "first", max(o_orderkey) AS "last" FROM orders GROUP BY 1')
+def graph_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.neighbours(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey AS a, c_custkey + 1 AS b, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey = c_custkey + 1) AS is_edge FROM customer")
+def graph_adjacent(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return ranges.adjacent(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey", "o_orderkey", pairs)
+
+
+# --- patterns, generators, reports ----------------------------------------------------------------------------------
+
+
+@query(oracle.SAMPLE)
+def pattern_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.sample(documents(spark, sf), 12)
+
+
+@query(oracle.SWEEP)
+def pattern_length_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.sweep(documents(spark, sf), 0, 8)
+
+
+@query(oracle.MUTATION)
+def pattern_mutation(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.mutated(patterns.sample(documents(spark, sf), 12)).select("pattern_id", "swap_l", "swap_r", "mutant")
+
+
+@query(oracle.DNA)
+def repetitive_dna(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.repetitive_dna(spark, 5000, 6, 3, 42)
+
+
+@query("SELECT doc_id, left(text, 40) AS prefix FROM documents")
+def prefix_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.prefixes(documents(spark, sf), 40)
+
+
+@query(oracle.SIZE_FORMAT)
+def size_format(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.octet_length("text").cast("long") * F.col("doc_id")
+    return documents(spark, sf).select("doc_id", size_text(size).alias("size"), time_text((size * F.lit(1000) + 7).cast("double")).alias("time"))
+
+
+@query(oracle.SPACE)
+def space_report(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = factorize.factors(documents(spark, sf), 4)
+    return stats.space_report({"texts": documents(spark, sf), "dictionary": factorize.lex_dictionary(blocks), "alphabet": alphabet.symbol_table(documents(spark, sf))})
+
+
+@query(oracle.ENTROPY)
+def hk_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    texts = documents(spark, sf)
+    return stats.entropy(texts, 0).unionByName(stats.entropy(texts, 1)).unionByName(stats.entropy(texts, 2))

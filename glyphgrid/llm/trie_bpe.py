@@ -163,25 +163,20 @@ class TrieBpe:
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
             self.known, self.older = {}, self.known
-        words = words.difference(self.known)
-        if self.older:
-            again = {w for w in words if w in self.older}
-            self.known.update({w: self.older[w] for w in again})
-            words = words - again
-        new = sorted(w.encode() for w in words)
+        known, older = self.known, self.older
+        fresh = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    fresh.append(w.encode())
+        new = sorted(fresh)
         for word, ids in zip(new, self.encode_words(new), strict=True):
             if self.decode(ids) != word:
                 raise ValueError(f"{word!r} doesn't come back from {ids}")
             self.known[word.decode()] = ",".join(map(str, ids))
 
-    def learn_from(self, texts: list[str | None]) -> None:
-        """One walk of the trie for the new words of many texts."""
-        words: set[str] = set()
-        for text in texts:
-            if text and not any(a in text for a in self.added):
-                words.update(self.words(text))
-        self.learn(words)
-
     def words(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
@@ -189,23 +184,24 @@ class TrieBpe:
             return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.split.findall(text)
 
+    def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Of each text: decimal ids joined by commas, and the text that they decode to. The new words of all texts
+        are learned in one walk of their trie."""
+        parts: list[list[list[str] | str]] = []  # words of a stretch, or an added token
+        for text in texts:
+            if self.cut and any(a in text for a in self.added):
+                parts.append([own if i % 2 else self.words(own) for i, own in enumerate(self.cut.split(text))])
+            else:
+                parts.append([self.words(text)])
+        self.learn({w for own in parts for words in own if not isinstance(words, str) for w in words})
+        known, out = self.known, []
+        for own in parts:
+            ids = [str(self.added[x]) if isinstance(x, str) else ",".join([known[w] for w in x]) for x in own if x]
+            out.append((",".join(ids), "".join([x if isinstance(x, str) else "".join(x) for x in own])))
+        return out
+
     def encode(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by commas, and the text that they decode to."""
-        parts = self.cut.split(text) if self.cut and any(a in text for a in self.added) else [text]
-        ids, back = [], []
-        for i, part in enumerate(parts):
-            if i % 2:
-                ids.append(str(self.added[part]))
-                back.append(part)
-            elif part:
-                words = self.words(part)
-                try:
-                    ids.append(",".join([self.known[w] for w in words]))
-                except KeyError:
-                    self.learn(set(words))
-                    ids.append(",".join([self.known[w] for w in words]))
-                back += words
-        return ",".join(ids), "".join(back)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -233,15 +229,10 @@ def _encoded(docs: DataFrame, path: str, digests: bool) -> DataFrame:
         def work(batch: pa.RecordBatch):
             for first in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.slice(first, ROWS_AT_ONCE)
-                texts = part["text"].to_pylist()
-                bpe.learn_from(texts)
-                n, ids_of, backs = [], [], []
-                for text in texts:
-                    ids, back = bpe.encode(text or "")
-                    n.append(ids.count(",") + 1 if ids else 0)
-                    ids_of.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
-                    backs.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)
-                yield {"doc_id": part["doc_id"], "n_tokens": n, names[0]: ids_of, names[1]: backs}
+                made = bpe.encode_all([t or "" for t in part["text"].to_pylist()])
+                n = [ids.count(",") + 1 if ids else 0 for ids, _ in made]
+                first_of, second_of = ([hashlib.sha256(x.encode()).hexdigest() if digests else x for x in column] for column in zip(*made, strict=True))
+                yield {"doc_id": part["doc_id"], "n_tokens": n, names[0]: first_of, names[1]: second_of}
 
         return work
 

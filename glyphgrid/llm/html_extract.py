@@ -39,7 +39,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style".split())
 SKIPPED = frozenset("head title nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input label menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond disqus reply replies discussion footer header masthead toolbar pagination pager skip tracking".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond disqus reply replies discussion footer toolbar pagination pager skip tracking".split())
+#: boilerplate only outside an article or main element, where they name its head
+OUTER_MARKS = frozenset("header masthead branding".split())
 LINE_LIKE = re.compile(r"[^a-z]+")
 BLANK = re.compile(r"\s+")
 #: a paragraph's end is implied by these starts
@@ -85,7 +87,8 @@ class Lines(HTMLParser):
         self.stack.append((tag, len(self.parents) - 1, skip))
 
     def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SKIPPED or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
+        outer = not any(t in ("article", "main") for t, _, _ in self.stack)
+        if tag in SKIPPED or tag == "header" and outer:
             return True
         if tag in ("body", "html", "article", "main"):
             return False
@@ -93,8 +96,10 @@ class Lines(HTMLParser):
             value = (value or "").lower()
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and not MARKS.isdisjoint(LINE_LIKE.split(value)):
-                return True
+            if name in ("class", "id"):
+                words = LINE_LIKE.split(value)
+                if not MARKS.isdisjoint(words) or outer and not OUTER_MARKS.isdisjoint(words):
+                    return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
         return False

@@ -12,10 +12,9 @@ rows are scored alike; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ ORDERS = (1, 2, 3)
 TRAIN_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 400
 SMOOTHING = 0.5
-LETTER = re.compile(r"[^\W\d_]")
-CHARS_AT_ONCE = 1 << 19
+LETTER = regex.compile(r"\p{L}")
+CHARS_AT_ONCE = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -110,7 +109,7 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = TRA
 
         return work
 
-    found = by_batch(sample, "cell long, n long", make).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = by_batch(sample, "cell long, n long", make, rows=4000).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.full(len(languages) * dimensions, SMOOTHING)
     table[found["cell"].to_numpy()] += found["n"].to_numpy()
     table = table.reshape(len(languages), dimensions)

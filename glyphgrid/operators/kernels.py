@@ -92,6 +92,36 @@ def lcp_of(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def lcp_intervals(lcp: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Inner nodes of the suffix tree as (string depth, first row, last row, parent's number), parents after their
+    children, the root last with itself as parent; from the LCP array by a stack."""
+    out: list[list[int]] = []
+    stack: list[tuple[int, int, list[int]]] = [(0, 0, [])]  # depth, first row, numbers of finished children
+
+    def finish(depth: int, low: int, high: int, children: list[int]) -> int:
+        out.append([depth, low, high, -1])
+        for c in children:
+            out[c][3] = len(out) - 1
+        return len(out) - 1
+
+    n = len(lcp)
+    for row in range(1, n + 1):
+        depth = int(lcp[row]) if row < n else 0
+        low, held = row - 1, []
+        while stack[-1][0] > depth:
+            top, low, children = stack.pop()
+            number = finish(top, low, row - 1, children)
+            if stack[-1][0] >= depth:
+                stack[-1][2].append(number)
+            else:
+                held.append(number)
+        if stack[-1][0] < depth:
+            stack.append((depth, low, held))
+    root = finish(0, 0, n - 1, stack[0][2])
+    out[root][3] = root
+    return [tuple(x) for x in out]
+
+
 def bwt_of(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Symbol before each suffix in order; -1 (the end mark) for the whole text."""
     return np.where(order == 0, -1, symbols[order - 1].astype(np.int64)) if len(symbols) else np.array([-1])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import bwt_of, chars, code_points, lcp_of, per_text, run_count, suffix_array
+from .kernels import bwt_of, chars, code_points, lcp_intervals, lcp_of, per_text, run_count, suffix_array
 
 
 def suffix_table(texts: DataFrame) -> DataFrame:
@@ -30,6 +30,44 @@ def lcp_array(texts: DataFrame) -> DataFrame:
     return per_text(texts, "doc_id long, row long, lcp long", kernel)
 
 
+def plcp_array(texts: DataFrame) -> DataFrame:
+    """doc_id, pos, plcp: the LCP values in the order of positions."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        order = suffix_array(cp)
+        out = np.empty(len(order), np.int64)
+        out[order] = lcp_of(cp, order)
+        return {"pos": range(len(order)), "plcp": out}
+
+    return per_text(texts, "doc_id long, pos long, plcp long", kernel)
+
+
+def sampled_suffix_array(table: DataFrame, every: int) -> DataFrame:
+    """Every n-th row of the suffix array."""
+    return table.where(F.pmod("row", F.lit(every)) == 0).select("doc_id", "row", "pos")
+
+
+def suffix_tree(texts: DataFrame) -> DataFrame:
+    """doc_id, node, depth (characters from the root), lo, hi (rows), parent: inner nodes of each text's suffix tree.
+    Leaves are rows; children of a node are the nodes with it as parent, the lowest common ancestor of two rows is the
+    deepest node that holds both."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        nodes = lcp_intervals(lcp_of(cp, suffix_array(cp)))
+        depth, lo, hi, parent = zip(*nodes, strict=True)
+        return {"node": range(len(nodes)), "depth": depth, "lo": lo, "hi": hi, "parent": parent}
+
+    return per_text(texts, "doc_id long, node long, depth long, lo long, hi long, parent long", kernel)
+
+
+def lowest_common_ancestors(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc_id, a, b: rows) with depth: the length of the longest common prefix of the two suffixes."""
+    holds = (F.col("lo") <= F.least("a", "b")) & (F.col("hi") >= F.greatest("a", "b"))
+    return pairs.join(tree, "doc_id").where(holds).groupBy("doc_id", "a", "b").agg(F.max("depth").alias("depth"))
+
+
 def longest_repeats(texts: DataFrame) -> DataFrame:
     """doc_id, len of the longest substring found twice."""
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import coders
 from ..functions.text import size_text, time_text
-from ..operators import alphabet, count, factorize, locate, patterns, ranges, stats, suffix
+from ..operators import alphabet, collections, count, factorize, locate, patterns, ranges, stats, suffix
 from ..operators.kernels import code_points, lz77, per_text
 from ..sources.texts import benchmark, conversations, documents
 from ..streaming.counts import drained, running_counts, text_stream
@@ -309,6 +310,41 @@ def longest_repeated_substring(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.longest_repeats(benchmark(spark, sf))
 
 
+@query(oracle.PLCP)
+def plcp_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.plcp_array(benchmark(spark, sf))
+
+
+@query(oracle.suffixes("doc_id, row, pos") + " WHERE row % 16 = 0")
+def sampled_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.sampled_suffix_array(suffix.suffix_table(conversations(spark, sf)), 16)
+
+
+@query(oracle.SUFFIX_TREE)
+def suffix_tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.suffix_tree(benchmark(spark, sf)).select("doc_id", "depth", "lo", "hi")
+
+
+@query(oracle.TREE_DEGREES)
+def suffix_tree_children(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner children of each node, by its rows."""
+    tree = suffix.suffix_tree(benchmark(spark, sf))
+    up = tree.where("node <> parent").groupBy("doc_id", F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    return tree.join(up, ["doc_id", "node"]).select("doc_id", "lo", "hi", "children")
+
+
+@query(oracle.LCA)
+def suffix_tree_lca(spark: SparkSession, sf: str) -> DataFrame:
+    texts = benchmark(spark, sf)
+    pairs = texts.select("doc_id", F.lit(5).cast("long").alias("a"), F.explode(F.sequence(F.lit(6).cast("long"), F.lit(40).cast("long"))).alias("b"))
+    return suffix.lowest_common_ancestors(suffix.suffix_tree(texts), pairs)
+
+
+@query(oracle.suffixes("doc_id, pos AS row, row AS pos"))
+def inverse_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    return collections.inverse_permutation(suffix.suffix_table(conversations(spark, sf)), "doc_id", "row", "pos")
+
+
 @query()
 def lz77_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: a greedy parse is sequential. Tests decode it again."""
@@ -382,6 +418,30 @@ def graph_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.neighbours(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey", "o_orderkey")
 
 
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey BETWEEN 100 AND 400 AND o_orderkey BETWEEN 50 AND 900")
+def graph_range(spark: SparkSession, sf: str) -> DataFrame:
+    return collections.edges_in_box(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey", "o_orderkey", (100, 400, 50, 900))
+
+
+@query(oracle.NEAREST)
+def nearest_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    values = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("v"))
+    return collections.neighbours_in_order(values, spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("q")))
+
+
+@query(oracle.OFFSETS)
+def collection_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return collections.collection_offsets(documents(spark, sf))
+
+
+@query(oracle.OWNERS)
+def sequence_of_position(spark: SparkSession, sf: str) -> DataFrame:
+    offsets = collections.collection_offsets(documents(spark, sf))
+    asked = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") * 13).alias("pos")).distinct()
+    return collections.owners(offsets, asked)
+
+
 @query("SELECT c_custkey AS a, c_custkey + 1 AS b, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey = c_custkey + 1) AS is_edge FROM customer")
 def graph_adjacent(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
@@ -422,6 +482,21 @@ def size_format(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", size_text(size).alias("size"), time_text((size * F.lit(1000) + 7).cast("double")).alias("time"))
 
 
+@query(oracle.CODES)
+def integer_codes(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("o_orderkey") + 1
+    gamma = coders.elias_gamma(x)
+    rows = spark.read.parquet(f"{sf}/orders.parquet")
+    return rows.select(x.alias("x"), coders.width(x).alias("width"), coders.ones(x).alias("ones"), gamma.alias("gamma"), coders.elias_delta(x).alias("delta"), coders.elias_gamma_value(gamma).alias("back"))
+
+
+@query()
+def fibonacci_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """No SQL: the greedy digits are sequential. Tests decode them."""
+    x = F.col("o_orderkey") + 1
+    return spark.read.parquet(f"{sf}/orders.parquet").select(x.alias("x"), coders.fibonacci(x).alias("code"))
+
+
 @query(oracle.SPACE)
 def space_report(spark: SparkSession, sf: str) -> DataFrame:
     blocks = factorize.factors(documents(spark, sf), 4)

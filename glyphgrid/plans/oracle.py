@@ -190,6 +190,22 @@ l AS (SELECT doc_id, row, len(list_filter(range(1, least(length(s), length(b)) +
 LCP = LCP_ROWS + " SELECT doc_id, row, lcp FROM l"
 LONGEST = LCP_ROWS + " SELECT doc_id, max(lcp) AS len FROM l GROUP BY 1"
 
+PLCP = LCP_ROWS + f", n AS (SELECT doc_id, length(text) AS n FROM t) SELECT doc_id, n - length(s) AS pos, lcp AS plcp FROM l JOIN o USING (doc_id, row) JOIN n USING (doc_id)"
+TREE = LCP_ROWS + """, nodes AS (SELECT doc_id, k, left(s, k) AS prefix, min(row) AS lo, max(row) AS hi FROM (SELECT doc_id, row, s, unnest(range(0, length(s) + 1)) AS k FROM o) GROUP BY 1, 2, 3),
+inner_nodes AS (SELECT doc_id, max(k) AS depth, lo, hi FROM nodes WHERE hi > lo OR k = 0 GROUP BY doc_id, lo, hi)"""
+SUFFIX_TREE = TREE + " SELECT doc_id, depth, lo, hi FROM inner_nodes"
+TREE_DEGREES = TREE + """, up AS (SELECT a.doc_id, a.lo AS clo, a.hi AS chi, max(b.depth) AS d FROM inner_nodes a JOIN inner_nodes b ON a.doc_id = b.doc_id AND b.lo <= a.lo AND b.hi >= a.hi AND (b.lo < a.lo OR b.hi > a.hi) GROUP BY 1, 2, 3)
+SELECT b.doc_id, b.lo, b.hi, count(*) AS children FROM up JOIN inner_nodes b ON b.doc_id = up.doc_id AND b.depth = up.d AND b.lo <= clo AND b.hi >= chi GROUP BY 1, 2, 3"""
+LCA = LCP_ROWS + """, pairs AS (SELECT doc_id, CAST(5 AS BIGINT) AS a, unnest(range(6, 41)) AS b FROM t)
+SELECT doc_id, a, b, min(lcp) AS depth FROM pairs JOIN l USING (doc_id) WHERE row > a AND row <= b GROUP BY 1, 2, 3"""
+NEAREST = """SELECT c_custkey AS q, (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <= c_custkey) AS pred,
+(SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey >= c_custkey) AS succ FROM customer"""
+OFFSETS = "SELECT doc_id, CAST(sum(length(text) + 1) OVER (ORDER BY doc_id) - length(text) - 1 AS BIGINT) AS start, length(text) + 1 AS size FROM documents"
+OWNERS = f"""WITH o AS ({OFFSETS}), q AS (SELECT DISTINCT o_orderkey * 13 AS pos FROM orders)
+SELECT pos, doc_id, pos - start AS inside FROM q JOIN o ON pos >= start AND pos < start + size"""
+CODES = """SELECT x, length(b) AS width, CAST(bit_count(x) AS BIGINT) AS ones, repeat('0', length(b) - 1) || b AS gamma, repeat('0', length(bin(length(b))) - 1) || bin(length(b)) || substr(b, 2) AS delta, x AS back
+FROM (SELECT o_orderkey + 1 AS x, bin(o_orderkey + 1) AS b FROM orders)"""
+
 MIDDLE = SUFFIXES + ", m AS (SELECT * FROM x WHERE row >= n // 4 AND row < 3 * n // 4)"
 RANGE_2D = MIDDLE + " SELECT doc_id, count(*) FILTER (WHERE row BETWEEN n // 3 AND n // 2 AND pos BETWEEN 0 AND n // 2) AS n FROM m GROUP BY 1"
 QUANTILE = MIDDLE + " SELECT doc_id, ch FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ch, row) = 10"

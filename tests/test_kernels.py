@@ -81,3 +81,16 @@ def test_toy_parameters(lam):
     ids = np.array([sorted(set(blocks)).index(b) for b in blocks])
     runs = K.run_count(K.bwt_of(ids, K.suffix_array(ids)))
     assert (len(blocks) + 1, runs, len(set(blocks)) + 1) == TOY_PARAMS[lam]
+
+
+def test_fibonacci_codes_decode(spark):
+    from pyspark.sql import functions as F
+
+    from glyphgrid.functions import coders
+
+    numbers = [1, 2]
+    while len(numbers) < 60:
+        numbers.append(numbers[-1] + numbers[-2])
+    for r in spark.range(1, 3000).select("id", coders.fibonacci(F.col("id")).alias("code")).collect():
+        assert r.code.endswith("11") and "11" not in r.code[:-1]
+        assert sum(n for n, d in zip(numbers, r.code[:-1], strict=False) if d == "1") == r.id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -42,9 +43,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]]) -> DataFrame:
+def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], rows: int = 256) -> DataFrame:
     """mapInArrow with a worker-side constructor: make() runs once a task and returns a function from a record
-    batch to dicts of columns."""
+    batch (of `rows` rows at most, so that a worker's memory doesn't follow Spark's batch size) to dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -53,13 +54,25 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, work = to_arrow_schema(kinds), make()
         for batch in batches:
-            for columns in work(batch):
+            parts = (batch.slice(i, rows) for i in range(0, len(batch), rows))
+            for columns in (c for part in parts for c in work(part)):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system: workers outlive tasks, and what one stage used would
+    otherwise stay beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def slices(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts as UTF-8, about `most` bytes at a time (one text at least): (index of the first, texts)."""
     start, size, held = 0, 0, []
     for i, text in enumerate(texts):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, mixed, slices, stage, windows, words_of
+from .common import by_batch, mixed, release, slices, stage, windows, words_of
 from .exact_dedup import without
 from .graph import components
 
@@ -140,7 +140,7 @@ def close_to_first(pairs: DataFrame) -> DataFrame:
 
         return work
 
-    return by_batch(pairs.select("node", "lead", "sig", "lead_sig"), "node long, lead long, near boolean", make)
+    return by_batch(pairs.select("node", "lead", "sig", "lead_sig"), "node long, lead long, near boolean", make, rows=10_000)
 
 
 def bucket_links(part: pd.DataFrame) -> pd.DataFrame:
@@ -231,6 +231,8 @@ def verified(part: pd.DataFrame) -> pd.DataFrame:
         if some.any():
             smallest = pd.Series(node).groupby(label).transform("min").to_numpy()
             out.append(pd.DataFrame({"node": node[some], "other": smallest[some], "links": links[some]}))
+    del part
+    release()
     return pd.concat(out) if out else pd.DataFrame({"node": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64")})
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, release
 
 LENGTH = 4096
 END_ID = 2
@@ -57,12 +57,14 @@ class WordTokens:
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
             self.known, self.older = {}, self.known
-        words = words.difference(self.known)
-        if self.older:
-            again = {w for w in words if w in self.older}
-            self.known.update({w: self.older[w] for w in again})
-            words = words - again
-        new = list(words)
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
@@ -76,24 +78,18 @@ class WordTokens:
                     self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        """Ids of each text; new words of all of them are learned together."""
+        words: list[list[str] | None] = []
         for text in texts:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                plain = False
+                words.append(None)
             else:
-                plain = not any(a in text for a in self.added)
-            if not plain:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes())
-                continue
-            words = WORDS.findall(text.lower())
-            try:
-                out.append(b"".join([self.known[w] for w in words]))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join([self.known[w] for w in words]))
-        return out
+                words.append(None if any(a in text for a in self.added) else WORDS.findall(text.lower()))
+        self.learn(set().union(*filter(None, words)))
+        known, whole = self.known, lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+        return [whole(t) if own is None else b"".join([known[w] for w in own]) for t, own in zip(texts, words, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -180,6 +176,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
             doc, first, tokens = cells[i]
             rows.append((doc, first + start, n, crc(ids[i][start : start + n]), tokens, base + len(whole) + k, offset))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+        release()
         return out.astype({c: "Int64" for c in out.columns})
 
     return tokenised(docs, path, groups, length, end_id).groupBy("grp").applyInPandas(one, PACKED)

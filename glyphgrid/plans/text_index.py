@@ -51,6 +51,23 @@ class TextIndex:
             raise ValueError(f"no index of format {FORMAT} at {path}")
         return cls(meta["lam"], {name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
 
+    def parameters(self) -> DataFrame:
+        """doc_id, n (blocks and the end mark), sigma (distinct blocks and the end mark)."""
+        own = self.tables["blocks"].groupBy("doc_id")
+        return own.agg((F.count("*") + 1).alias("n"), (F.count_distinct("lex_id") + 1).alias("sigma"))
+
+    def space(self) -> DataFrame:
+        """component, bytes of the index's strings, and the total."""
+        from ..operators.stats import space_report
+
+        return space_report({name: self.tables[name] for name in TABLES})
+
+    def describe(self, rows: int = 20) -> None:
+        """Prints the first rows of every table."""
+        for name in TABLES:
+            print(f"{name} (lambda {self.lam})")
+            self.tables[name].show(rows, truncate=False)
+
     def count(self, patterns: DataFrame) -> DataFrame:
         """pattern_id, occ of patterns (pattern_id, pattern), empty ones refused. Patterns with an unknown symbol drop out
         first, with 0."""

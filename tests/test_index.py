@@ -98,3 +98,18 @@ def test_files_and_sql(spark, tmp_path):
     register(spark)
     assert spark.sql("SELECT overlap_count('aaaaa', 'aa') AS n").first().n == 4
     assert spark.sql("SELECT extract_range('hello', 1, 3) AS s").first().s == "ell"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glyphgrid.__main__ import main
+
+    (tmp_path / "text.txt").write_bytes(b"tgcaacgt" * 5)
+    (tmp_path / "pattern.txt").write_bytes(b"acgt")
+    assert main(["cs", "4", str(tmp_path / "text.txt"), str(tmp_path / "index")]) == 0
+    capsys.readouterr()
+    assert main(["lc", str(tmp_path / "index"), str(tmp_path / "pattern.txt")]) == 0
+    assert capsys.readouterr().out.split()[-1] == "5"
+    assert main(["xx"]) == 2
+    index = TextIndex.load(spark, str(tmp_path / "index"))
+    assert [(r.n, r.sigma) for r in index.parameters().collect()] == [(12, 5)]
+    assert index.space().count() == len(index.tables) + 1

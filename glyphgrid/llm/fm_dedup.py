@@ -20,24 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, stage
+from .common import by_batch, release, stage
 from .fm_index import FmIndex
-from .passages import Unit, anchored, candidates, cooled, distinct_texts, judged, segments, texts_of
+from .passages import TEXT, Unit, first_rows, judged, kinds_of, measured, segments, with_spans
 
 WIDTH, GRAM = 35, 12
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Which of n units are in a window that starts at one of `starts`."""
+def covered(n: int, spans: np.ndarray, width: int) -> np.ndarray:
+    """Which of n units are in a window whose start is in one of the spans (see by_segment)."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
+    first, count = spans >> 32, spans & 0xFFFFFFFF
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count + width - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
-    """seg_id and offsets of the repeated windows of segments found once."""
+    """seg_id and spans of the repeated windows of segments found once."""
     known: dict[bytes, int] = {}
     symbols, ends = [], []
     for seg in part["seg"]:
@@ -53,27 +54,35 @@ def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
     owner = np.repeat(np.flatnonzero(alone), count[alone])
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
     hit = index.repeated(text, firsts[owner] + offset, width)
+    del index
+    release()
     return by_segment(part["seg_id"].to_numpy(), owner[hit], offset[hit])
 
 
 def by_segment(names: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> pd.DataFrame:
-    """(seg_id, offsets) from window offsets and the numbers of their segments, in order."""
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
-    lists = np.empty(len(first), object)
-    lists[:] = [x.tolist() for x in np.split(offset, first[1:])][: len(first)]
-    return pd.DataFrame({"seg_id": names[owner[first]], "offsets": pd.Series(lists, dtype=object)})
+    """(seg_id, spans) from window offsets and the numbers of their segments, in order. A span is a stretch of
+    consecutive offsets: the first in the upper 32 bits, how many in the lower."""
+    if not len(owner):
+        return pd.DataFrame({"seg_id": names[:0], "spans": pd.Series([], dtype=object)})
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1))))
+    span = (offset[first] << 32) | np.diff(np.append(first, len(owner)))
+    own = owner[first]
+    head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    lists = np.empty(len(head), object)
+    lists[:] = [x.tolist() for x in np.split(span, head[1:])]
+    return pd.DataFrame({"seg_id": names[own[head]], "spans": pd.Series(lists, dtype=object)})
 
 
 def removed(texts: DataFrame, unit: Unit) -> DataFrame:
-    """uid, n_removed, n_spans, kept_sha from uid, text, starts (array of first repeated windows)."""
+    """doc_id, th, n_removed, n_spans, kept_sha from doc_id, th, text, spans: staged, one row for each text."""
 
     def make():
         def work(batch: pa.RecordBatch):
             out = {k: [] for k in ("n_removed", "n_spans", "kept_sha")}
             for i in range(len(batch)):
-                data, starts = batch["text"][i].as_py().encode(), np.array(batch["starts"][i].as_py(), np.int64)
+                data, spans = batch["text"][i].as_py().encode(), np.array(batch["spans"][i].as_py(), np.int64)
                 units = data.split() if unit.words else data
-                gone = covered(len(units), starts, unit.width)
+                gone = covered(len(units), spans, unit.width)
                 if unit.words:
                     kept = b" ".join([w for w, g in zip(units, gone.tolist(), strict=True) if not g])
                 else:
@@ -81,33 +90,34 @@ def removed(texts: DataFrame, unit: Unit) -> DataFrame:
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
                 out["kept_sha"].append(hashlib.sha256(kept).hexdigest())
-            yield {"uid": batch["uid"], **out}
+            yield {"doc_id": batch["doc_id"], "th": batch["th"], **out}
 
         return work
 
-    return by_batch(texts.select("uid", "text", "starts"), "uid long, n_removed long, n_spans long, kept_sha string", make)
+    made = by_batch(texts.select(*TEXT, "text", "spans"), "doc_id long, th long, n_removed long, n_spans long, kept_sha string", make)
+    return stage(made.dropDuplicates(list(TEXT)), "removed")
 
 
-def with_starts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """texts (uid, text) with all repeated window starts of each, from places (uid, at, offsets)."""
-    starts = places.groupBy("uid").agg(F.flatten(F.collect_list(F.transform("offsets", lambda x: x + F.col("at")))).alias("starts"))
-    return texts.select("uid", "text").join(starts, "uid")
+def verdicts(rows: DataFrame, heads: DataFrame, cut: DataFrame) -> DataFrame:
+    """rows with the first row and number of their copies, and n_removed, n_spans, kept_sha of their text (or null)."""
+    groups = heads.select("sha", F.col("head.uid").alias("head_uid"), "copies")
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n_removed", "n_spans", "kept_sha")
+    joined = rows.join(groups, "sha")
+    return joined.join(cut, joined["doc_id"].eqNullSafe(cut["__id"]) & (joined["th"] == cut["__th"]), "left")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """uid, doc_id, n_words, n_removed, kept_sha256 of every row."""
     unit = Unit(True, width, gram)
-    rows = anchored(docs, unit)
-    heads = distinct_texts(rows)
-    texts = texts_of(docs, candidates(rows, heads, unit))
-    places = cooled(segments(texts, unit), unit)
-    distinct, repeats = judged(places, lambda part: shard_repeats(part, width), "seg_id string, offsets array<int>")
-    often = distinct.where("n > 1").select("seg_id", F.lit(None).cast("array<int>").alias("offsets"))
-    hits = places.select("uid", "at", "windows", "seg_id").join(repeats.unionByName(often), "seg_id")
-    hits = hits.withColumn("offsets", F.coalesce("offsets", F.sequence(F.lit(0), F.col("windows") - 1)))
-    cut = stage(removed(with_starts(texts, hits), unit), "removed")
-    groups = heads.select("sha", F.col("head.uid").alias("head_uid"), "copies")
-    joined = rows.select("uid", "doc_id", "n", "sha").join(groups, "sha").join(cut, "uid", "left")
+    rows = measured(docs, unit)
+    heads = first_rows(rows)
+    found = segments(docs, rows, heads, unit)
+    kinds = kinds_of(found)
+    repeats = judged(kinds, unit, lambda part: shard_repeats(part, width), F.col("total") > 1)
+    marks = kinds.select("seg_id", "n").join(repeats, "seg_id", "left").where("n > 1 or spans is not null")
+    hits = found.select(*TEXT, "at", "windows", "seg_id").join(marks, "seg_id")
+    hits = hits.withColumn("spans", F.when(F.col("n") > 1, F.array(F.col("windows").cast("long"))).otherwise(F.col("spans")))
+    joined = verdicts(rows, heads, removed(with_spans(docs, hits), unit))
     copied = (F.col("copies") > 1) & (F.col("n") >= width)
     gone = F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha", "sha"))

@@ -4,16 +4,19 @@ A text is a sequence of units (words or bytes). The anchor of a window of `width
 its `gram`-unit strings, so equal windows have equal anchors. Consecutive windows with one anchor are a run; a run's text
 is a segment. Only runs whose anchor hash occurs at least twice in the corpus can hold repeated windows:
 
-  texts -> anchors of each distinct text (numpy) -> anchor hashes that repeat (partial aggregation) -> segments of
-  their runs -> distinct segments, with the first place and the number of places -> shards by anchor hash
-
-Identical texts are one text here. Where an anchor has more than HOT distinct segments, these are cut into their single
-windows, and a window is routed by its own hash: each is pre-aggregated, and no anchor fills a shard. Every window is in
-exactly one segment and meets all its equals in one shard.
+  texts -> anchor hashes (numpy) -> hashes that repeat (partial aggregation) -> segments of their runs, cut in a second
+  scan -> distinct segments, with the first place and the number of places -> shards by anchor hash
+
+The second scan screens anchors with static binary-fuse filters of the repeated hashes, broadcast only up to
+FILTER_BYTES; beyond, all segments are cut and joined with the repeated hashes by shuffle. Exact counts by segment follow
+in either case. A segment that is the only kind of its anchor needs no judging: all its places are equal. Where an
+anchor has more than HOT kinds, these are cut into their single windows, each grouped with its equals by aggregation, so
+that no anchor fills a shard. Every window is in exactly one segment and meets all its equals in one shard. A text is known by (doc_id, th), th being a hash of it; rows that repeat both are one text here.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,17 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binary_fuse import BinaryFuse
 from .common import by_batch, slices, stage, windows, words_of
 
 HOT = 2000
-SHARD_BYTES = 3_000_000
-#: ids of texts up to which their table is broadcast to fetch texts; more are joined by shuffle
-BROADCAST_IDS = 1_000_000
+SHARD_BYTES = 1_000_000
+#: bytes of filters, rows of ids and of anchors, and spans up to which they are broadcast; larger ones are joined by
+#: shuffle
+FILTER_BYTES, BROADCAST_IDS, BROADCAST_ANCHORS, BROADCAST_SPANS = 32 << 20, 500_000, 500_000, 2_000_000
+FILTER_KEYS = 1 << 19
+TEXT = ("doc_id", "th")
 
 
 def place(*more: str) -> Column:
-    """What orders texts: doc_id (null first), then the row."""
-    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "uid", *more)
+    """What orders texts: doc_id (null first), then the text's hash."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", *more)
 
 
 @dataclass(frozen=True)
@@ -87,113 +94,177 @@ class Unit:
         return lambda at, n: b" ".join(own[at : at + n])
 
 
-def anchored(docs: DataFrame, unit: Unit) -> DataFrame:
-    """uid, doc_id, th (a hash of the text), n (units), sha (digest of all units), anchors, firsts: staged."""
+def measured(docs: DataFrame, unit: Unit) -> DataFrame:
+    """uid, doc_id, th, n (units), sha (digest of all units) of every row: staged."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    if not unit.words:
+        return stage(rows.select("uid", *TEXT, F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts")
 
     def make():
         def work(batch: pa.RecordBatch):
-            for start, parts in slices(batch["text"].to_pylist()):
-                end = start + len(parts)
-                found = unit.runs(parts)
-                yield {
-                    **{c: batch[c][start:end] for c in ("uid", "doc_id", "th")},
-                    "n": [n for n, _, _ in found],
-                    "sha": [unit.digest(p) for p in parts],
-                    "anchors": [h for _, h, _ in found],
-                    "firsts": [at for _, _, at in found],
-                }
+            texts = [t.encode() for t in batch["text"].to_pylist()]
+            yield {**{c: batch[c] for c in ("uid", *TEXT)}, "n": [len(t.split()) for t in texts], "sha": [unit.digest(t) for t in texts]}
 
         return work
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    return stage(by_batch(rows, "uid long, doc_id long, th long, n long, sha string, anchors array<long>, firsts array<int>", make), "anchors")
+    return stage(by_batch(rows, "uid long, doc_id long, th long, n long, sha string", make), "texts")
+
 
+def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
+    """h of the anchors found twice or more: staged."""
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """sha, head (known, doc_id, uid of the first row) and copies."""
-    return stage(rows.groupBy("sha").agg(F.min(place()).alias("head"), F.count("*").alias("copies")), "texts")
+    def make():
+        def work(batch: pa.RecordBatch):
+            for _, parts in slices(batch["text"].to_pylist()):
+                h, n = np.unique(np.concatenate([h for _, h, _ in unit.runs(parts)]), return_counts=True)
+                yield {"h": h, "n": n.astype(np.int32)}
+
+        return work
 
+    return stage(by_batch(docs.select("text"), "h long, n int", make).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
 
-def candidates(rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
-    """uid, doc_id, th, runs (array of h, n_h, first, windows) of the texts with repeated anchors: staged."""
-    own = rows.where(F.col("n") >= unit.width).join(heads.select(F.col("head.uid").alias("uid")), "uid", "left_semi")
-    lasts = F.concat(F.slice("firsts", 2, F.greatest(F.size("firsts") - 1, F.lit(0))), F.array((F.col("n") - unit.width + 1).cast("int")))
-    runs = own.select("uid", F.inline(F.arrays_zip(F.col("anchors").alias("h"), F.col("firsts").alias("first"), lasts.alias("next"))))
-    runs = runs.toDF("uid", "h", "first", "next")
-    again = runs.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1")
-    kept = runs.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "n_h", "first", (F.col("next") - F.col("first")).alias("windows"))).alias("runs"))
-    return stage(kept.join(rows.select("uid", "doc_id", "th"), "uid"), "candidates")
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """sha, head (known, doc_id, th, uid of the first row) and copies: staged."""
+    return stage(rows.groupBy("sha").agg(F.min(place("uid")).alias("head"), F.count("*").alias("copies")), "heads")
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted with its text: staged."""
-    few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    texts = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, texts["__doc"].eqNullSafe(ids["__id"]) & (texts["__hash"] == ids["__th"]), "left_semi")
-    joined = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["__doc"]) & (wanted["th"] == texts["__hash"])).drop("__doc", "__hash", "th")
-    return stage(joined.dropDuplicates(["uid"]), "passage-texts")
 
+def segments(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, th, h, at, windows, seg, seg_id of every run with a repeated anchor: staged. Texts that copy another are
+    left out while the table of them is small; they change no verdict on others."""
+    again = repeated_anchors(docs, unit)
+    buckets = max(1, -(-again.count() // FILTER_KEYS))
 
-def segments(texts: DataFrame, unit: Unit) -> DataFrame:
-    """uid, doc_id, h, n_h, at, windows, seg of every candidate run: staged."""
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "filter": [BinaryFuse.build(part["h"].to_numpy().view(np.uint64)).to_bytes()]})
+
+    keyed = again.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    built = stage(keyed.groupBy("bucket").applyInPandas(build, "bucket int, filter binary"), "anchor-filters")
+    size = built.agg(F.sum(F.length("filter"))).first()[0] or 0
+    screen = size <= FILTER_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["filter"]) for r in built.collect()} if screen else {})
 
     def make():
+        filters = {k: BinaryFuse.from_bytes(v) for k, v in shared.value.items()}
+
+        def wanted(h: np.ndarray) -> np.ndarray:
+            if not screen:
+                return np.ones(len(h), bool)
+            bucket, out = h % buckets, np.zeros(len(h), bool)
+            for k, f in filters.items():
+                some = np.flatnonzero(bucket == k)
+                out[some] = f.holds(h[some].view(np.uint64))
+            return out
+
         def work(batch: pa.RecordBatch):
-            names = ("uid", "doc_id", "h", "n_h", "at", "windows", "seg")
-            out = {k: [] for k in names}
-            for i in range(len(batch)):
-                uid, doc_id, text, runs = (batch[c][i].as_py() for c in ("uid", "doc_id", "text", "runs"))
-                cut = unit.cut(text.encode())
-                for r in runs:
-                    for k, v in zip(names, (uid, doc_id, r["h"], r["n_h"], r["first"], r["windows"], cut(r["first"], r["windows"] + unit.width - 1)), strict=True):
-                        out[k].append(v)
-                if len(out["uid"]) > 20_000:
-                    yield out
-                    out = {k: [] for k in names}
-            yield out
+            names = (*TEXT, "h", "at", "windows", "seg")
+            ids = list(zip(*[batch[c].to_pylist() for c in TEXT], strict=True))
+            for start, parts in slices(batch["text"].to_pylist()):
+                out = {k: [] for k in names}
+                found = unit.runs(parts)
+                hit = wanted(np.concatenate([h for _, h, _ in found]))
+                done = 0
+                for i, (data, (n, h, at)) in enumerate(zip(parts, found, strict=True), start):
+                    good = np.flatnonzero(hit[done : done + len(h)])
+                    done += len(h)
+                    if not len(good):
+                        continue
+                    count = np.diff(np.append(at, n - unit.width + 1))[good]
+                    cut, own = unit.cut(data), at[good]
+                    for name, v in zip(names, ([ids[i][0]] * len(good), [ids[i][1]] * len(good), h[good].tolist(), own.tolist(), count.tolist(), [cut(a, c + unit.width - 1) for a, c in zip(own.tolist(), count.tolist(), strict=True)]), strict=True):
+                        out[name] += v
+                yield out
 
         return work
 
-    made = by_batch(texts.select("uid", "doc_id", "text", "runs"), "uid long, doc_id long, h long, n_h long, at int, windows int, seg binary", make)
-    return stage(made.withColumn("seg_id", F.md5("seg")), "segments")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    copies = rows.select("sha", *TEXT).join(heads.where("copies > 1"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    copies = stage(copies, "copies")
+    if copies.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(copies), texts["doc_id"].eqNullSafe(copies["__id"]) & (texts["th"] == copies["__th"]), "left_anti")
+    made = by_batch(texts, "doc_id long, th long, h long, at int, windows int, seg binary", make)
+    if not screen:
+        made = made.join(again, "h", "left_semi")
+    return stage(made.withColumn("seg_id", F.unhex(F.md5("seg"))), "segments")
+
 
+def kinds_of(found: DataFrame) -> DataFrame:
+    """h, seg_id, seg, first place and n (places) of each distinct segment: staged."""
+    return stage(found.groupBy("h", "seg_id", "seg").agg(F.min(place("at")).alias("first"), F.count("*").alias("n")), "kinds")
 
-def cooled(found: DataFrame, unit: Unit) -> DataFrame:
-    """uid, doc_id, route, at, windows, seg, seg_id: as found, but segments of hot anchors cut into windows."""
-    columns = ["uid", "doc_id", "route", "at", "windows", "seg", "seg_id"]
-    hot = found.where(F.col("n_h") > HOT).select("h", "seg_id").distinct().groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("h")
+
+def judged(kinds: DataFrame, unit: Unit, judge: Callable[[pd.DataFrame], pd.DataFrame], verdict: Column) -> DataFrame:
+    """seg_id and spans of the windows at first places that are repeats. judge gets the segments of a shard that aren't
+    the only kind of their anchor (h, seg_id, seg, n and the first place). Kinds of hot anchors are judged window by window:
+    verdict is a condition on own (the window's place at the segment's first place), least (its first place) and
+    total (all its places)."""
+    hot = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("h")
     hot = stage(hot, "hot-anchors")
-    plain = found.withColumn("route", F.col("h"))
-    if hot.isEmpty():
-        return plain.select(*columns)
+    cold, more = kinds, None
+    if not hot.isEmpty():
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_ANCHORS else hot
+        cold = kinds.join(hot, "h", "left_anti")
+        single = by_batch(kinds.join(hot, "h", "left_semi").select("seg_id", "seg", "n", "first.*"), "seg_id binary, n long, known boolean, doc_id long, th long, at long, k int, window binary", functools.partial(cutter, unit))
+        single = single.select("seg_id", "n", "k", F.md5("window").alias("window"), place("at").alias("own"))
+        single = stage(single, "hot-windows")
+        every = single.groupBy("window").agg(F.min("own").alias("least"), F.sum("n").alias("total"))
+        again = single.join(every, "window").where(verdict)
+        more = again.groupBy("seg_id").agg(F.collect_list(F.shiftleft(F.col("k").cast("long"), 32) + 1).alias("spans"))
+    size = cold.agg(F.sum(F.length("seg"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        many = part.groupby("h")["h"].transform("size") > 1
+        return judge(part[many].reset_index(drop=True)) if many.any() else pd.DataFrame({"seg_id": part["seg_id"][:0], "spans": pd.Series([], dtype=object)})
+
+    flat = cold.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "seg_id", "seg", "n", "first.*")
+    found = flat.groupBy("shard").applyInPandas(one, "seg_id binary, spans array<long>")
+    return stage(found.unionByName(more) if more is not None else found, "judged")
+
+
+def cutter(unit: Unit) -> Callable[[pa.RecordBatch], object]:
+    """Cuts segments into their single windows, k being the window's number."""
+
+    def work(batch: pa.RecordBatch):
+        kept = ("seg_id", "n", "known", "doc_id", "th")
+        out = {k: [] for k in (*kept, "at", "k", "window")}
+        for *own, at, seg in zip(*[batch[c].to_pylist() for c in (*kept, "at", "seg")], strict=True):
+            cut = unit.cut(seg)
+            units = len(seg.split()) if unit.words else len(seg)
+            for k in range(units - unit.width + 1):
+                for name, v in zip(out, (*own, at + k, k, cut(k, unit.width)), strict=True):
+                    out[name].append(v)
+        yield out
+
+    return work
+
+
+def with_spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, th, text, spans (stretches of first units of repeated windows: first unit in the upper 32 bits, how many
+    in the lower) of the texts in hits (doc_id, th, at, spans relative to at)."""
+    shifted = F.transform("spans", lambda x: x + F.shiftleft(F.col("at").cast("long"), 32))
+    spans = hits.groupBy(*TEXT).agg(F.flatten(F.collect_list(shifted)).alias("spans"))
 
     def make():
         def work(batch: pa.RecordBatch):
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                out = {k: [] for k in ("uid", "doc_id", "at", "windows", "seg")}
-                for uid, doc_id, at, n, seg in zip(*[part[c].to_pylist() for c in out], strict=True):
-                    cut = unit.cut(seg)
-                    for k in range(n):
-                        for name, v in zip(out, (uid, doc_id, at + k, 1, cut(k, unit.width)), strict=True):
-                            out[name].append(v)
-                yield out
+            yield {**{c: batch[c] for c in TEXT}, "spans": [merged(np.array(x, np.int64)).tolist() for x in batch["spans"].to_pylist()]}
 
         return work
 
-    single = by_batch(found.where(F.col("n_h") > HOT).join(hot, "h", "left_semi").select("uid", "doc_id", "at", "windows", "seg"), "uid long, doc_id long, at int, windows int, seg binary", make)
-    single = single.withColumn("seg_id", F.md5("seg")).withColumn("route", F.xxhash64("seg_id"))
-    cool = plain.where(F.col("n_h") <= HOT).unionByName(plain.where(F.col("n_h") > HOT).join(hot, "h", "left_anti"))
-    return stage(cool.select(*columns).unionByName(single.select(*columns)), "cooled")
-
-
-def judged(places: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], returns: str) -> tuple[DataFrame, DataFrame]:
-    """(distinct segments with first place and number, what judge returns for the shards): judge gets route, seg_id, seg,
-    n, doc_id, uid, at of the first place, and known."""
-    distinct = places.groupBy("route", "seg_id", "seg").agg(F.min(place("at")).alias("first"), F.count("*").alias("n"))
-    distinct = stage(distinct, "distinct-segments")
-    size = distinct.agg(F.sum(F.length("seg"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    flat = distinct.select(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"), "seg_id", "seg", "n", "first.*")
-    return distinct.select("seg_id", "first", "n"), stage(flat.groupBy("shard").applyInPandas(judge, returns), "judged")
+    spans = by_batch(spans, "doc_id long, th long, spans array<long>", make)
+    spans = stage(spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans"), "spans")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    n, size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    few = n <= BROADCAST_IDS and size <= BROADCAST_SPANS
+    same = texts["doc_id"].eqNullSafe(spans["__id"]) & (texts["th"] == spans["__th"])
+    return texts.join(F.broadcast(spans) if few else spans, same).drop("__id", "__th")
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans with those that meet joined, in order."""
+    spans = np.sort(spans)
+    first, end = spans >> 32, (spans >> 32) + (spans & 0xFFFFFFFF)
+    end = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.concatenate(([True], first[1:] > end[:-1])))
+    last = np.append(new[1:], len(spans)) - 1
+    return (first[new] << 32) | (end[last] - first[new])

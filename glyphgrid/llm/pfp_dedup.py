@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stage, windows
-from .fm_dedup import by_segment, removed, with_starts
-from .passages import Unit, anchored, candidates, cooled, distinct_texts, judged, segments, texts_of
+from .common import mixed, release, stage, windows
+from .fm_dedup import by_segment, removed, verdicts
+from .passages import Unit, first_rows, judged, kinds_of, measured, segments, with_spans
 
 WIDTH, GRAM = 100, 32
 TRIGGER, MODULUS = 8, 24
@@ -41,39 +41,56 @@ def ranked(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def suffix_ranks(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Rank of the suffix at each position, of strings laid one after another: equal suffixes have equal ranks, and a
-    suffix comes before what it is a prefix of. left: symbols up to the end of the string, this one included."""
-    n = len(symbols)
-    rank, step = ranked(symbols), 1
-    longest = int(left.max(initial=1))
-    while step < longest:
-        key = (rank + 1) << 32
-        inside = np.flatnonzero(left > step)
-        key[inside] |= rank[inside + step] + 1
-        rank, step = ranked(key), 2 * step
-        if n and rank.max() == n - 1:
+def refined(key: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of suffixes (equal ones are equal, a suffix comes before what it is a prefix of) from a key that orders
+    their first `step` symbols. Prefix doubling over the groups that aren't decided: of two members or more, one of
+    which goes on. left: symbols from each position to the end of its string."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    active, keys = order, key[order]
+    base = np.zeros(n, np.int64)  # of the group that an active entry was in, in order
+    while len(active):
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        start = base[first] + (first - np.searchsorted(base, base[first]))
+        rank[active] = start[group]
+        size = np.diff(np.append(first, len(active)))
+        open_group = (size > 1) & (np.maximum.reduceat(left[active], first) > step)
+        some = open_group[group]
+        active = active[some]
+        if not len(active):
             break
+        base = start[group][some]
+        follows = np.zeros(len(active), np.int64)
+        inside = np.flatnonzero(left[active] > step)
+        follows[inside] = rank[active[inside] + step] + 1
+        keys = (base << 32) | follows
+        again = np.argsort(keys, kind="stable")
+        active, keys, base = active[again], keys[again], base[again]
+        step *= 2
     return rank
 
 
+def suffix_ranks(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of integer strings laid one after another."""
+    return refined(symbols, left, 1)
+
+
+def packed(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position on, as numbers in byte order (zeros after the end)."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(min(8, len(data))):
+        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
 def packed_ranks(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """suffix_ranks of bytes, from eight bytes at a time on."""
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(len(data), np.uint64)
-    for k in range(7):  # seven bytes and how many of them there are
-        key = (key << np.uint64(8)) | np.where(left > k, wide[k : k + len(data)], np.uint64(0))
-    key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    rank, step = ranked(key), 7
-    longest = int(left.max(initial=1))
-    while step < longest:
-        key = (rank + 1) << 32
-        inside = np.flatnonzero(left > step)
-        key[inside] |= rank[inside + step] + 1
-        rank, step = ranked(key), 2 * step
-        if len(data) and rank.max() == len(data) - 1:
-            break
-    return rank
+    """suffix_ranks of byte strings, from seven bytes at a time on (with how many of them there are)."""
+    have = np.minimum(left, 7).astype(np.uint64)
+    key = (packed(data) >> (np.uint64(64) - np.uint64(8) * have)) << (np.uint64(64) - np.uint64(8) * have)
+    return refined(key | have, left, 7)
 
 
 class Parse:
@@ -120,20 +137,17 @@ class Parse:
 def same_as_before(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Whether data[at[i] : at[i] + width] equals the one at at[i - 1] (false for the first)."""
     out = np.zeros(len(at), bool)
-    out[1:] = True
-    raw = np.concatenate((data, np.zeros(8, np.uint8)))
-    wide = np.lib.stride_tricks.as_strided(raw, (len(data) + 1, 8), (1, 1))
+    wide = packed(data)
+    some = np.arange(1, len(at))
     for k in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        some = np.flatnonzero(out)
-        a = np.ascontiguousarray(wide[at[some] + k]).view(np.uint64).ravel()
-        b = np.ascontiguousarray(wide[at[some - 1] + k]).view(np.uint64).ravel()
-        out[some] = a == b
+        some = some[wide[at[some] + k] == wide[at[some - 1] + k]]
+    out[some] = True
     return out
 
 
 def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
-    """seg_id and offsets of the windows at a segment's first place that also start earlier."""
-    part = part.sort_values(["known", "doc_id", "uid", "at"], kind="stable", na_position="first")
+    """seg_id and spans of the windows at a segment's first place that also start earlier."""
+    part = part.sort_values(["known", "doc_id", "th", "at"], kind="stable", na_position="first")
     segs = part["seg"].tolist()
     size = np.fromiter(map(len, segs), np.int64, len(segs))
     firsts = np.concatenate(([0], np.cumsum(size)))
@@ -145,12 +159,13 @@ def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
     order = Parse(data, firsts).order(at)
     group = np.cumsum(~same_as_before(data, at[order], width))
     # segments are in the order of their texts; inside one text a window starts at the segment's place plus its offset
-    text = ranked_in_order(part[["known", "doc_id", "uid"]])[owner]
+    text = ranked_in_order(part[["known", "doc_id", "th"]])[owner]
     when = (text << 32) | (part["at"].to_numpy(np.int64)[owner] + offset)
     own = when[order]
     least = np.full(int(group[-1]) + 1 if len(group) else 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, own)
     again = np.sort(order[own > least[group]])
+    release()
     return by_segment(part["seg_id"].to_numpy(), owner[again], offset[again])
 
 
@@ -167,19 +182,17 @@ def ranked_in_order(sorted_rows: pd.DataFrame) -> np.ndarray:
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     unit = Unit(False, width, gram)
-    rows = anchored(docs, unit)
-    heads = distinct_texts(rows)
-    texts = texts_of(docs, candidates(rows, heads, unit))
-    places = cooled(segments(texts, unit), unit)
-    distinct, repeats = judged(places, lambda part: shard_repeats(part, width), "seg_id string, offsets array<int>")
-    firsts = distinct.select("seg_id", "n", F.col("first.uid").alias("first_uid"), F.col("first.at").alias("first_at"))
-    marks = firsts.join(repeats, "seg_id", "left").where("n > 1 or offsets is not null")
-    hits = places.select("uid", "at", "windows", "seg_id").join(marks, "seg_id")
-    first = (F.col("uid") == F.col("first_uid")) & (F.col("at") == F.col("first_at"))
-    hits = hits.withColumn("offsets", F.when(first, F.col("offsets")).otherwise(F.sequence(F.lit(0), F.col("windows") - 1))).where("offsets is not null")
-    cut = stage(removed(with_starts(texts, hits), unit), "removed")
-    groups = heads.select("sha", F.col("head.uid").alias("head_uid"))
-    joined = rows.select("uid", "doc_id", "n", "sha").join(groups, "sha").join(cut, "uid", "left")
+    rows = measured(docs, unit)
+    heads = first_rows(rows)
+    found = segments(docs, rows, heads, unit)
+    kinds = kinds_of(found)
+    repeats = judged(kinds, unit, lambda part: shard_repeats(part, width), F.col("own") != F.col("least"))
+    marks = kinds.select("seg_id", "n", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.at").alias("first_at"))
+    marks = marks.join(repeats, "seg_id", "left").where("n > 1 or spans is not null")
+    hits = found.select("doc_id", "th", "at", "windows", "seg_id").join(marks, "seg_id")
+    at_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")) & (F.col("at") == F.col("first_at"))
+    hits = hits.withColumn("spans", F.when(at_first, F.col("spans")).otherwise(F.array(F.col("windows").cast("long")))).where("spans is not null")
+    joined = verdicts(rows, heads, removed(with_spans(docs, hits), unit))
     copied = (F.col("uid") != F.col("head_uid")) & (F.col("n") >= width)
     gone = F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     spans = F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long")

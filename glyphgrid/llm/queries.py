@@ -74,7 +74,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_extract, op3_cost_balanced_packing, op4_prefix_free_dedup, op5_robust_quality, op6_exact_dedup, op7_trie_bpe, op8_secret_scan, op9_fm_index_dedup, op10_language_id)}
 
+WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents)"
+
 ORACLES = {
+    "op1_ngram_jaccard": f"""
+WITH RECURSIVE {WORDS},
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(list_slice(l, i, i + 4), ' '))
+      WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.c = e.a)
+SELECT a AS doc_id, min(c) AS class_id, (SELECT count(*) FROM e WHERE e.a = r.a) AS n_links FROM r GROUP BY r.a""",
+    "op4_prefix_free_dedup": """
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+v AS (SELECT doc_id, i, md5(substr(b, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, b, unnest(range(0, length(b) // 2 - 99)) AS i FROM x WHERE length(b) >= 200)),
+d AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+u AS (SELECT doc_id, p, substr(b, 2 * p + 1, 2) AS byte FROM (SELECT doc_id, b, unnest(range(0, length(b) // 2)) AS p FROM x)),
+f AS (SELECT u.*, max(CASE WHEN d.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY u.doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM u LEFT JOIN d ON d.doc_id = u.doc_id AND d.i = u.p),
+h AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS head FROM f)
+SELECT x.doc_id, length(b) // 2 AS n_bytes, count(*) FILTER (WHERE gone = 1) AS n_removed, count(*) FILTER (WHERE head) AS n_spans,
+       sha256(unhex(coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE gone = 0), ''))) AS kept_sha256
+FROM x LEFT JOIN h USING (doc_id) GROUP BY x.doc_id, b""",
+    "op9_fm_index_dedup": f"""
+WITH {WORDS},
+x AS (SELECT doc_id, i, array_to_string(list_slice(l, i, i + 34), ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS i FROM w WHERE len(l) >= 35)),
+d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM x) WHERE c > 1),
+u AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM w),
+f AS (SELECT u.*, max(CASE WHEN d.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY u.doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM u LEFT JOIN d ON d.doc_id = u.doc_id AND d.i = u.p)
+SELECT w.doc_id, len(l) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id, len(l)""",
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

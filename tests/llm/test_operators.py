@@ -162,7 +162,9 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
         assert (r.n_links, r.class_id) == (n, 0 if r.doc_id < 100 else r.doc_id)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, -1])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", few)
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -44,7 +44,7 @@ def test_registered():
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard", "op4_prefix_free_dedup", "op6_exact_dedup", "op9_fm_index_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from .kernels import per_text
 
+#: passages (and their characters in all) that one scan of the texts looks for
+BROADCAST_PASSAGES, BROADCAST_CHARS = 100_000, 50_000_000
+
 
 def occurrences(text: str, pattern: str, most: int | None = None) -> list[int]:
     out, at = [], text.find(pattern)
@@ -71,10 +74,15 @@ def containment(texts: DataFrame, passages: DataFrame, seed: int = 24) -> DataFr
     from .count import code_points, window_keys
     import numpy as np
 
-    rows = passages.where(F.length("text") >= seed).select("item_id", "text")
-    held = rows.count()
-    if held > 200_000:
-        raise ValueError("passages are broadcast: 200,000 at most in one call")
+    rows = passages.where(F.length("text") >= seed).select("item_id", "text").distinct()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // BROADCAST_PASSAGES), -(-size // BROADCAST_CHARS))
+    if parts > 1:  # a scan of the texts for each part of the passages
+        found = None
+        for k in range(parts):
+            one = containment(texts, rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)).isin(2 * k, 2 * k + 1)), seed)
+            found = one if found is None else found.unionByName(one)
+        return found
     own = [(r["item_id"], r["text"]) for r in rows.collect()]
     keys = np.array([window_keys(code_points(t[:seed]), seed)[0] for _, t in own], np.uint64)
     order = np.argsort(keys, kind="stable")

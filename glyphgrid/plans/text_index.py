@@ -20,6 +20,11 @@ FORMAT = 1
 TABLES = ("blocks", "dictionary", "inner", "alphabet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df cut from its lineage where there is a checkpoint folder, else cached (memory and disk)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 class TextIndex:
     """Tables: blocks (doc_id, ord, lex_id), dictionary (factor, lex_id, freq, bucket_start), inner (sub, cnt),
     alphabet (ch, symbol)."""
@@ -73,7 +78,7 @@ class TextIndex:
         first, with 0."""
         bad = F.raise_error(F.lit("an empty pattern has no count")).cast("string")
         patterns = patterns.withColumn("pattern", F.when(F.length("pattern") > 0, F.col("pattern")).otherwise(bad))
-        dictionary, inner, blocks = (self.tables[k] for k in ("dictionary", "inner", "blocks"))
+        dictionary, inner, blocks = kept(self.tables["dictionary"]), self.tables["inner"], self.tables["blocks"]
         symbols = patterns.select("pattern_id", F.explode(F.array_distinct(F.split("pattern", ""))).alias("ch")).where("ch <> ''")
         unknown = symbols.join(self.tables["alphabet"], "ch", "left_anti").select("pattern_id").distinct()
         known = patterns.join(unknown, "pattern_id", "left_anti")
@@ -84,7 +89,7 @@ class TextIndex:
         parts = ends.unionByName(inside.join(inner, F.col("pattern") == F.col("sub")).select("pattern_id", F.col("cnt").alias("freq")))
         # across blocks: the pattern's head ends a block; then block by block, the last one a prefix
         sized = F.broadcast(dictionary.select("lex_id", "factor")) if dictionary.count() <= 1_000_000 else dictionary.select("lex_id", "factor")
-        named = blocks.join(sized, "lex_id").select("doc_id", "ord", "factor")
+        named = kept(blocks.join(sized, "lex_id").select("doc_id", "ord", "factor"))
         heads = known.where(F.length("pattern") > 1).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(1), F.least(F.length("pattern") - 1, F.lit(self.lam)))).alias("k"))
         heads = heads.select("pattern_id", F.left("pattern", F.col("k")).alias("head"), F.substr("pattern", F.col("k") + 1).alias("rest"))
         starts = heads.join(dictionary.select("factor"), F.endswith("factor", "head")).select("pattern_id", "factor", "rest")
@@ -97,7 +102,7 @@ class TextIndex:
             done = states.where(ended).groupBy("pattern_id").agg(F.count("*").alias("freq"))
             parts = parts.unionByName(done)
             states = states.where(~ended).select("pattern_id", "doc_id", (F.col("at") + 1).alias("at"), F.substr("rest", F.length("next") + 1).alias("rest"))
-            states = states.checkpoint() if states.sparkSession.sparkContext.getCheckpointDir() else states.persist()
+            states = kept(states)
             if states.isEmpty():
                 break
         total = parts.groupBy("pattern_id").agg(F.sum("freq").alias("occ"))

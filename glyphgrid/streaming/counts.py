@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ def windowed_counts(events: DataFrame, time: str, text: str, patterns: list[str]
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a streaming aggregate over all that is there now, and returns the table it leaves in memory (small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if shared := stream.sparkSession.conf.get("spark.checkpoint.dir", None):  # state must be where executors see it
+        writer = writer.option("checkpointLocation", f"{shared}/glyphgrid/stream-{uuid.uuid4().hex}")
+    query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -75,6 +75,18 @@ def test_locate_and_inverse(case):
     assert back == texts
 
 
+def test_containment_in_parts(spark, monkeypatch):
+    rnd = random.Random(1)
+    base = ["".join(rnd.choice("ab ") for _ in range(300)) for _ in range(20)]
+    texts = spark.createDataFrame(list(enumerate(base)), "doc_id long, text string")
+    items = [(i, base[i % 20][i : i + 30 + i]) for i in range(60)]
+    passages = spark.createDataFrame(items, "item_id long, text string")
+    expected = {(d, i, plain_count(t, p)) for d, t in enumerate(base) for i, p in items if p in t}
+    assert {tuple(r) for r in locate.containment(texts, passages).select("doc_id", "item_id", "occ").collect()} == expected
+    monkeypatch.setattr(locate, "BROADCAST_PASSAGES", 25)
+    assert {tuple(r) for r in locate.containment(texts, passages).select("doc_id", "item_id", "occ").collect()} == expected
+
+
 def test_refusals(spark, case):
     rows, _, _, _ = case
     for bad in (0, 9, 257):

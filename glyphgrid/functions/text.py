@@ -11,20 +11,28 @@ def quoted(pattern: str) -> str:
     return "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def bordered(pattern: str) -> bool:
+    """Whether occurrences of the pattern can overlap: some proper prefix is also a suffix."""
+    return any(pattern.startswith(pattern[k:]) for k in range(1, len(pattern)))
+
+
 def overlap_count(text: Column | str, pattern: str) -> Column:
-    """Occurrences of a pattern in a text, overlapping ones included. Texts without it are told apart cheaply."""
+    """Occurrences of a pattern in a text, overlapping ones included. Only a pattern that can overlap itself needs a
+    look-ahead at every position; others are counted by what their removal shortens."""
     if not pattern:
         raise ValueError("an empty pattern has no count")
     column = F.col(text) if isinstance(text, str) else text
+    if not bordered(pattern):
+        return disjoint_count(column, pattern)
     found = F.regexp_count(column, F.lit(f"(?={quoted(pattern)})")).cast("long")
-    return F.when(F.contains(column, F.lit(pattern)), found).otherwise(F.lit(0).cast("long"))
+    return F.when(F.contains(column, F.lit(pattern)), found).otherwise(F.when(column.isNotNull(), F.lit(0).cast("long")))
 
 
 def disjoint_count(text: Column | str, pattern: str) -> Column:
     """Occurrences that don't overlap, leftmost first."""
     column = F.col(text) if isinstance(text, str) else text
-    gone = F.length(column) - F.length(F.replace(column, F.lit(pattern), F.lit("")))
-    return F.floor(gone / len(pattern)).cast("long")
+    gone = F.octet_length(column) - F.octet_length(F.replace(column, F.lit(pattern), F.lit("")))
+    return F.floor(gone / len(pattern.encode())).cast("long")
 
 
 def size_text(size: Column) -> Column:

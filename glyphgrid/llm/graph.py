@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import stage
 
 ROUNDS = 60
+#: edges up to which the table of smallest neighbours is broadcast (16 bytes each)
+BROADCAST_EDGES = 500_000
+
+
+def sized(least: DataFrame, few: bool, label: str) -> DataFrame:
+    """Broadcast while small; else staged, so that Spark can split the join at a node with very many neighbours."""
+    return F.broadcast(least) if few else stage(least, label)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -20,11 +27,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if now == before:
             break
         before = now
+        few = now[0] <= BROADCAST_EDGES
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(sized(least, few, label), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = sized(least, few, label)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
     else:

@@ -2,9 +2,9 @@
 
 A window is WIDTH consecutive words; each word covered by a window whose words also start anywhere else goes, in all
 places. Windows reach shards as `passages` says; a shard lays its distinct segments one after another (a separator
-between them), numbers their words, and builds one compressed FM-index (wavelet matrix over the BWT). All windows of
-segments found once are searched backward in numpy batches; a range of two rows or more after WIDTH steps is a
-repeat. Segments found twice or more repeat as they are, and stay in the index for the others.
+between them), numbers their words, and builds one compressed FM-index (wavelet matrix over the BWT). The
+segments found once are streamed through it: backward search in numpy batches gives the matching statistics of all
+window ends, and a window is reported where its statistic reaches WIDTH with two rows or more. Segments found twice or more repeat as they are, and stay in the index for the others.
 
 Cases: null, empty and short texts lose nothing. Texts with the same words lose all of them if they have WIDTH or more.
 Null doc_id and repeated rows are rows like any other. Very long texts are taken whole. Other columns aren't read.
@@ -53,7 +53,7 @@ def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
     alone = part["n"].to_numpy() == 1
     owner = np.repeat(np.flatnonzero(alone), count[alone])
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count[alone]) - count[alone], count[alone])
-    hit = index.repeated(text, firsts[owner] + offset, width)
+    hit = index.matching_statistics(text, firsts[owner] + offset + width, width) >= width
     del index
     release()
     return by_segment(part["seg_id"].to_numpy(), owner[hit], offset[hit])
@@ -106,18 +106,23 @@ def verdicts(rows: DataFrame, heads: DataFrame, cut: DataFrame) -> DataFrame:
     return joined.join(cut, joined["doc_id"].eqNullSafe(cut["__id"]) & (joined["th"] == cut["__th"]), "left")
 
 
+def repeats(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, th, text, spans (stretches of first words of repeated windows) of the texts that have any."""
+    found = segments(docs, rows, heads, unit)
+    kinds = kinds_of(found)
+    again = judged(kinds, unit, lambda part: shard_repeats(part, unit.width), F.col("total") > 1)
+    marks = kinds.select("seg_id", "n").join(again, "seg_id", "left").where("n > 1 or spans is not null")
+    marks = stage(marks, "marks")  # a table of its own: Spark can split the join at a very common segment
+    hits = found.select(*TEXT, "at", "windows", "seg_id").join(marks, "seg_id")
+    return with_spans(docs, hits.withColumn("spans", F.when(F.col("n") > 1, F.array(F.col("windows").cast("long"))).otherwise(F.col("spans"))))
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """uid, doc_id, n_words, n_removed, kept_sha256 of every row."""
     unit = Unit(True, width, gram)
     rows = measured(docs, unit)
     heads = first_rows(rows)
-    found = segments(docs, rows, heads, unit)
-    kinds = kinds_of(found)
-    repeats = judged(kinds, unit, lambda part: shard_repeats(part, width), F.col("total") > 1)
-    marks = kinds.select("seg_id", "n").join(repeats, "seg_id", "left").where("n > 1 or spans is not null")
-    hits = found.select(*TEXT, "at", "windows", "seg_id").join(marks, "seg_id")
-    hits = hits.withColumn("spans", F.when(F.col("n") > 1, F.array(F.col("windows").cast("long"))).otherwise(F.col("spans")))
-    joined = verdicts(rows, heads, removed(with_spans(docs, hits), unit))
+    joined = verdicts(rows, heads, removed(repeats(docs, rows, heads, unit), unit))
     copied = (F.col("copies") > 1) & (F.col("n") >= width)
     gone = F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(copied, F.lit(EMPTY)).otherwise(F.coalesce("kept_sha", "sha"))

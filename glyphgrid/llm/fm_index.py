@@ -73,18 +73,21 @@ class FmIndex:
         shift = self.shift[symbol]
         return shift + self._down(symbol, low), shift + self._down(symbol, high)
 
-    def repeated(self, text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        """Which of the windows text[at : at + width] are in the index twice or more. A window's matching statistic
-        is what backward search reaches before its range has one row; searches stop there."""
-        out = np.zeros(len(at), bool)
-        alive = np.arange(len(at))
-        last = text[at + width - 1]
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
+        """For each end (exclusive) in a streamed text: how long the longest stretch that stops there and is in the
+        index `least` times or more is, counted up to `most`. Backward search of all ends at a time; an end is done
+        when its row range gets too small. Symbols must be ones that the index knows."""
+        out = np.zeros(len(ends), np.int64)
+        alive = np.flatnonzero(ends > 0)
+        last = text[ends[alive] - 1]
         low, high = self.starts[last], self.starts[last + 1]
-        for k in range(width - 2, -1, -1):
-            more = high - low > 1
+        for k in range(1, most + 1):
+            more = high - low >= least
             alive, low, high = alive[more], low[more], high[more]
-            if not len(alive):
-                return out
-            low, high = self.step(text[at[alive] + k], low, high)
-        out[alive[high - low > 1]] = True
+            out[alive] = k
+            more = ends[alive] > k
+            alive, low, high = alive[more], low[more], high[more]
+            if k == most or not len(alive):
+                break
+            low, high = self.step(text[ends[alive] - 1 - k], low, high)
         return out

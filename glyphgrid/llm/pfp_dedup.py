@@ -179,20 +179,26 @@ def ranked_in_order(sorted_rows: pd.DataFrame) -> np.ndarray:
     return np.cumsum(new).astype(np.int64)
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    unit = Unit(False, width, gram)
-    rows = measured(docs, unit)
-    heads = first_rows(rows)
+def repeats(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, th, text, spans (stretches of first bytes of windows that start earlier too) of the texts that have any."""
     found = segments(docs, rows, heads, unit)
     kinds = kinds_of(found)
-    repeats = judged(kinds, unit, lambda part: shard_repeats(part, width), F.col("own") != F.col("least"))
+    again = judged(kinds, unit, lambda part: shard_repeats(part, unit.width), F.col("own") != F.col("least"))
     marks = kinds.select("seg_id", "n", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.at").alias("first_at"))
-    marks = marks.join(repeats, "seg_id", "left").where("n > 1 or spans is not null")
+    marks = marks.join(again, "seg_id", "left").where("n > 1 or spans is not null")
+    marks = stage(marks, "marks")  # a table of its own: Spark can split the join at a very common segment
     hits = found.select("doc_id", "th", "at", "windows", "seg_id").join(marks, "seg_id")
     at_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")) & (F.col("at") == F.col("first_at"))
-    hits = hits.withColumn("spans", F.when(at_first, F.col("spans")).otherwise(F.array(F.col("windows").cast("long")))).where("spans is not null")
-    joined = verdicts(rows, heads, removed(with_spans(docs, hits), unit))
+    hits = hits.withColumn("spans", F.when(at_first, F.col("spans")).otherwise(F.array(F.col("windows").cast("long"))))
+    return with_spans(docs, hits.where("spans is not null"))
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    unit = Unit(False, width, gram)
+    rows = measured(docs, unit)
+    heads = first_rows(rows)
+    joined = verdicts(rows, heads, removed(repeats(docs, rows, heads, unit), unit))
     copied = (F.col("uid") != F.col("head_uid")) & (F.col("n") >= width)
     gone = F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     spans = F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long")

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphgrid.llm import exact_dedup, fm_dedup, graph, html_extract, langid, ngram_join, packing, passages, pfp_dedup, robust_quality, secret_scan, trie_bpe
+from glyphgrid.llm import exact_dedup, fm_dedup, fm_index, graph, html_extract, langid, ngram_join, packing, passages, pfp_dedup, robust_quality, secret_scan, trie_bpe
 from glyphgrid.llm.binary_fuse import BinaryFuse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,6 +238,28 @@ def test_prefix_free_parse_orders_suffixes():
         assert [rest[i] for i in order] == sorted(rest)
 
 
+def test_fm_index_matching_statistics():
+    rnd = np.random.default_rng(2)
+    for sigma in (2, 3, 70):
+        text = rnd.integers(1, sigma, 400) if sigma > 2 else np.ones(400, np.int64)
+        text[rnd.integers(0, 400, 6)] = 0
+        text[-1] = 0
+        text[200:240] = text[100:140]
+        index = fm_index.FmIndex(text, sigma, 20)
+        where = defaultdict(list)
+        for n in range(1, 21):
+            for i in range(len(text) - n + 1):
+                where[tuple(text[i : i + n])].append(i)
+        ends = np.array([e for e in range(1, len(text) + 1)])
+        got = index.matching_statistics(text, ends, 20)
+        for e, size in zip(ends.tolist(), got.tolist(), strict=True):
+            best = 0
+            while best < min(e, 20) and len(where[tuple(text[e - best - 1 : e])]) >= 2:
+                best += 1
+            if 0 not in text[max(0, e - best - 1) : e]:  # patterns never hold the separator
+                assert size == best
+
+
 def test_statistics(docs, rows, none):
     expected = Counter()
     for r in rows:

@@ -82,17 +82,20 @@ class TextIndex:
         symbols = patterns.select("pattern_id", F.explode(F.array_distinct(F.split("pattern", ""))).alias("ch")).where("ch <> ''")
         unknown = symbols.join(self.tables["alphabet"], "ch", "left_anti").select("pattern_id").distinct()
         known = patterns.join(unknown, "pattern_id", "left_anti")
-        # inside one block: at its start or end, from the dictionary; inside it, from the table of inner strings
+        # inside one block: at its start or end, or inside it; all by equal strings, as blocks are short
         inside = known.where(F.length("pattern") <= self.lam)
-        ends = inside.join(dictionary, F.startswith("factor", "pattern")).select("pattern_id", "freq")
-        ends = ends.unionByName(inside.join(dictionary, F.endswith("factor", "pattern") & (F.col("factor") != F.col("pattern"))).select("pattern_id", "freq"))
-        parts = ends.unionByName(inside.join(inner, F.col("pattern") == F.col("sub")).select("pattern_id", F.col("cnt").alias("freq")))
+        n = F.length("factor")
+        starts = dictionary.select("freq", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.left("factor", k))).alias("pattern"))
+        tails = dictionary.where(n > 1).select("freq", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.right("factor", k))).alias("pattern"))
+        whole = starts.unionByName(tails).unionByName(inner.select(F.col("cnt").alias("freq"), F.col("sub").alias("pattern")))
+        parts = inside.join(whole.groupBy("pattern").agg(F.sum("freq").alias("freq")), "pattern").select("pattern_id", "freq")
         # across blocks: the pattern's head ends a block; then block by block, the last one a prefix
         sized = F.broadcast(dictionary.select("lex_id", "factor")) if dictionary.count() <= 1_000_000 else dictionary.select("lex_id", "factor")
         named = kept(blocks.join(sized, "lex_id").select("doc_id", "ord", "factor"))
         heads = known.where(F.length("pattern") > 1).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(1), F.least(F.length("pattern") - 1, F.lit(self.lam)))).alias("k"))
         heads = heads.select("pattern_id", F.left("pattern", F.col("k")).alias("head"), F.substr("pattern", F.col("k") + 1).alias("rest"))
-        starts = heads.join(dictionary.select("factor"), F.endswith("factor", "head")).select("pattern_id", "factor", "rest")
+        ends = dictionary.select("factor", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.right("factor", k))).alias("head"))
+        starts = heads.join(ends, "head").select("pattern_id", "factor", "rest")
         states = named.join(starts, "factor").select("pattern_id", "doc_id", F.col("ord").alias("at"), "rest")
         longest = known.agg(F.max(F.length("pattern"))).first()[0] or 0
         for _ in range(longest - 1):

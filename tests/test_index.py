@@ -125,3 +125,21 @@ def test_command_line(spark, tmp_path, capsys):
     index = TextIndex.load(spark, str(tmp_path / "index"))
     assert [(r.n, r.sigma) for r in index.parameters().collect()] == [(12, 5)]
     assert index.space().count() == len(index.tables) + 1
+
+
+def test_streams(spark, tmp_path):
+    """Files that arrive one after another, late rows and windows."""
+    from glyphgrid.streaming.counts import drained, running_counts, text_stream, windowed_counts
+
+    for i, text in enumerate(["banana", "ananas", None, ""]):
+        spark.createDataFrame([(i, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "texts.parquet"))
+    stream = text_stream(spark, str(tmp_path), "texts.parquet", per_trigger=1)
+    out = drained(running_counts(stream, ["ana", "z"]), "running")
+    assert {r.pattern: r.occ for r in out.collect()} == {"ana": 4, "z": 0}
+
+    rows = [("2024-01-01 00:00:10", "aa"), ("2024-01-01 00:00:50", "aaa"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 01:00:00", "aa")]
+    path = str(tmp_path / "events")
+    spark.createDataFrame(rows, "ts string, text string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "text").coalesce(1).write.parquet(path)
+    events = spark.readStream.schema("ts timestamp, text string").parquet(path)
+    table = drained(windowed_counts(events, "ts", "text", ["aa"], "1 minute", "5 minutes"), "windowed", "append")
+    assert sorted((str(r.window.start), r.occ) for r in table.collect()) == [("2024-01-01 00:00:00", 3), ("2024-01-01 00:02:00", 0)]

@@ -14,7 +14,7 @@ from glyphgrid.llm.common import documents, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no letter or whose language can't be told."""
+    """Drops documents of no language (`und`: null, or without a letter)."""
     return langid.accepted_rows(docs)
 
 

@@ -4,6 +4,7 @@ Training counts n-grams of 1 to 3 lower-cased characters, hashed to DIMENSIONS c
 TRAIN_PER_LANGUAGE labelled documents of each language (chosen by a hash of doc_id; the bound keeps the work on the
 driver constant). Counts are summed on the executors; the driver gets one number per used cell and language. The
 log-probability matrix (DIMENSIONS x languages, float32) is broadcast, and texts are scored whole in numpy batches.
+Priors are the shares of all training documents. The score is the posterior probability of the predicted language.
 
 Cases: null text, or a text without any letter, gives `und` with score 0. Rows whose lang or text is null don't train.
 With no training row at all everything is `und`. Null doc_id: held_out is null and the row doesn't train. Repeated
@@ -114,7 +115,8 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = TRA
     table[found["cell"].to_numpy()] += found["n"].to_numpy()
     table = table.reshape(len(languages), dimensions)
     weights = np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
-    return LanguageModel(languages, np.ascontiguousarray(weights), np.full(len(languages), -np.log(len(languages))))
+    prior = np.log(np.array([n for _, n in counts]) / sum(n for _, n in counts))
+    return LanguageModel(languages, np.ascontiguousarray(weights), prior)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -143,9 +145,9 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def accepted_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a letter and whose language scores `least` or more (without
-    any training row: has a letter)."""
+def accepted_rows(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a letter and whose language scores `least` or more. By default
+    only texts of no language (`und`) go: short clean texts may score low."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
 

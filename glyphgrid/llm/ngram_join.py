@@ -84,7 +84,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, th (a hash of the text), set_id, bands, sig of every row, staged (set_id, bands, sig are null for texts without words)."""
+    """uid, doc_id, th (a hash of the text), size (bytes), set_id, bands, sig of every row, staged (set_id, bands, sig are null for texts without words)."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -98,12 +98,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                     for i, k, v in zip(some, band_keys(values), values.astype(np.uint8), strict=True):
                         bands[i], sig[i] = k, v.tobytes()
                 end = start + len(parts)
-                yield {**{c: batch[c][start:end] for c in ("uid", "doc_id", "th")}, "set_id": [set_id(s) for s in sets], "bands": bands, "sig": sig}
+                yield {**{c: batch[c][start:end] for c in ("uid", "doc_id", "th")}, "size": list(map(len, parts)), "set_id": [set_id(s) for s in sets], "bands": bands, "sig": sig}
 
         return work
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    return stage(by_batch(rows, "uid long, doc_id long, th long, set_id string, bands array<long>, sig binary", make), "sketches")
+    return stage(by_batch(rows, "uid long, doc_id long, th long, size int, set_id string, bands array<long>, sig binary", make), "sketches", scan=True)
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,18 +248,18 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """uid, doc_id, th, class_id, n_links, kept (one row of each class) of every row."""
     rows = sketched(docs)
-    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.max("size").alias("size"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = clusters(nodes)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     found = found.join(sizes, "component").select("node", "component", blocks.alias("blocks"))
-    members = stage(found.join(nodes.select("node", "set_id", "first", "copies"), "node"), "members")
+    members = stage(found.join(nodes.select("node", "set_id", "first", "copies", "size"), "node"), "members")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = fetched(docs, members)
     texts = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "set_id", "copies", "text")
-    size = members.count() * 4000
+    size = members.agg(F.sum(F.col("size").cast("long") * F.col("blocks"))).first()[0] or 0
     groups = max(1, size // GROUP_BYTES)
     grp = F.pmod(F.xxhash64("component", "low", "high"), F.lit(groups))
     exact = stage(texts.withColumn("grp", grp).groupBy("grp").applyInPandas(verified, "node long, other long, links long"), "links")

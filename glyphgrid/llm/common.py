@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters of every contract here: \x20 and \x09-\x0D (what bytes.split() cuts at).
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: files of a staged table that comes out of a shuffle: this many at least, then so many for each core of the cluster
+LEAST_FILES, FILES_PER_CORE = 48, 3
+
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -35,10 +38,15 @@ def stage_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. Tables that
+    come out of a shuffle are written as a few files for each core at most; scan: the table comes straight from a scan of
+    texts, and keeps its tasks."""
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/glyphgrid/{label}-{uuid.uuid4().hex}"
+    most = max(LEAST_FILES, FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    if not scan and int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
+        df = df.coalesce(most)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

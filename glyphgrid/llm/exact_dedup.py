@@ -41,7 +41,7 @@ def normalised() -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, digest) of every row, staged: uid then numbers rows for good."""
-    return stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2(normalised(), 256).alias("digest")), "digests")
+    return stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2(normalised(), 256).alias("digest")), "digests", scan=True)
 
 
 def key64(digest: str = "digest") -> Column:

@@ -98,7 +98,7 @@ def measured(docs: DataFrame, unit: Unit) -> DataFrame:
     """uid, doc_id, th, n (units), sha (digest of all units) of every row: staged."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     if not unit.words:
-        return stage(rows.select("uid", *TEXT, F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts")
+        return stage(rows.select("uid", *TEXT, F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts", scan=True)
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -107,7 +107,7 @@ def measured(docs: DataFrame, unit: Unit) -> DataFrame:
 
         return work
 
-    return stage(by_batch(rows, "uid long, doc_id long, th long, n long, sha string", make), "texts")
+    return stage(by_batch(rows, "uid long, doc_id long, th long, n long, sha string", make), "texts", scan=True)
 
 
 def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -125,8 +125,8 @@ def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """sha, head (known, doc_id, th, uid of the first row) and copies: staged."""
-    return stage(rows.groupBy("sha").agg(F.min(place("uid")).alias("head"), F.count("*").alias("copies")), "heads")
+    """sha, head (known, doc_id, th, uid of the first row) and copies."""
+    return rows.groupBy("sha").agg(F.min(place("uid")).alias("head"), F.count("*").alias("copies"))
 
 
 def segments(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
@@ -179,13 +179,12 @@ def segments(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) ->
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     copies = rows.select("sha", *TEXT).join(heads.where("copies > 1"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("head.doc_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    copies = stage(copies, "copies")
     if copies.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(copies), texts["doc_id"].eqNullSafe(copies["__id"]) & (texts["th"] == copies["__th"]), "left_anti")
     made = by_batch(texts, "doc_id long, th long, h long, at int, windows int, seg binary", make)
     if not screen:
         made = made.join(again, "h", "left_semi")
-    return stage(made.withColumn("seg_id", F.unhex(F.md5("seg"))), "segments")
+    return stage(made.withColumn("seg_id", F.unhex(F.md5("seg"))), "segments", scan=True)
 
 
 def kinds_of(found: DataFrame) -> DataFrame:

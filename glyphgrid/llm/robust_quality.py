@@ -151,7 +151,7 @@ def fitted(rows: DataFrame, few: bool) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, base statistics, base_failed, d2 and kept of every row."""
-    rows = stage(keys(transformed(statistics(docs))), "quality")
+    rows = stage(keys(transformed(statistics(docs))), "quality", scan=True)
     by = ["g_lang", "g_source"]
     few = rows.select(*by).distinct().count() <= BROADCAST_GROUPS
     small = stage(rows.groupBy(*by).agg(F.count_if(~F.col("base_failed")).alias("n")).where(F.col("n") < LEAST), "small")

@@ -125,8 +125,9 @@ def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def first_rows(rows: DataFrame) -> DataFrame:
-    """sha, head (known, doc_id, th, uid of the first row) and copies."""
-    return rows.groupBy("sha").agg(F.min(place("uid")).alias("head"), F.count("*").alias("copies"))
+    """sha, head (known, doc_id, th, uid of the first row) and copies: staged, so that Spark can split joins at a
+    text that very many rows have."""
+    return stage(rows.groupBy("sha").agg(F.min(place("uid")).alias("head"), F.count("*").alias("copies")), "heads")
 
 
 def segments(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Base patterns (fixed values of the contract): assign, access, hex. The method adds parts that are weak alone:
   key_id    an access identifier: a strong `access` match, or an assignment to access_key/client_id/username/...
-  material  20 to 128 characters of base64/hex alphabet, mixed letters and digits, not part of a base span
+  material  20 or more characters of base64/hex alphabet (+ and / also percent-encoded), mixed letters and digits, not
+            part of a base span or of an endpoint before its query; it may follow '=' (env lines, query strings)
   endpoint  a URL or host of a service
 Each part has a scope (SCOPE code points to either side, cut at blank lines). Scopes are joined by interval overlap
 with a sweep over sorted bounds; a weak `material` span is reported only where an identifier and an endpoint, or an
@@ -32,14 +33,15 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "key_id", "material", "endpoint")
 
 SCOPE = 400
-KEY_ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:name)?|account(?:_?id)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
+KEY_ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:name)?|account(?:_?(?:id|name))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
 KEY_ID_WORDS = (b"access", b"client", b"user", b"account", b"login")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20\"'<>]+|[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)\b", re.A)
 ENDPOINT_WORDS = (b"://", b"amazonaws.com", b"core.windows.net", b"googleapis.com")
-MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+MATERIAL = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]|%2[BbFf]){20,}+(?:=|%3[Dd]){0,2}(?![A-Za-z0-9+/_=-])")
+QUERY = re.compile(r"[?#]")
 PARAGRAPH = re.compile(r"\n[\x20\t]*\n")
 _HEX_CLASS = bytes(49 if c in b"0123456789abcdef" else 48 for c in range(256))
-_LONG_CLASS = bytes(49 if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b"+/_-") else 48 for c in range(256))
+_LONG_CLASS = bytes(49 if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b"+/_-%") else 48 for c in range(256))
 
 
 def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, int, str]]:
@@ -65,8 +67,7 @@ def linked(text: str, base: list[tuple[int, int, str]], data: bytes) -> list[tup
     if not ids or b"1" * 20 not in data.translate(_LONG_CLASS):
         return []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if any(k in low for k in ENDPOINT_WORDS) else []
-    taken = sorted((a, b) for a, b, _ in base) + sorted((a, b) for a, b, _ in ends)
-    taken.sort()
+    taken = sorted([(a, b) for a, b, _ in base] + [(a, q.start() if (q := QUERY.search(text, a, b)) else b) for a, b, _ in ends])
     first = [a for a, _ in taken]
     reach, top = [], 0
     for _, b in taken:

@@ -207,12 +207,13 @@ def verified(part: pd.DataFrame) -> pd.DataFrame:
     """(node, other, links) from texts of cluster blocks: exact links of each node inside its block pair."""
     out = []
     for (_, low, high), own in part.groupby(["component", "low", "high"], sort=False):
-        own = own.drop_duplicates("node")
         sets = []
         for _, parts in slices(own["text"].tolist()):
             sets += ngram_sets(parts)
-        good = np.array([set_id(s) == k for s, k in zip(sets, own["set_id"], strict=True)])
-        own, sets = own[good], [s for s, g in zip(sets, good, strict=True) if g]
+        # a text of another set can share doc_id and hash: it goes before repeated nodes do
+        good = np.flatnonzero([set_id(s) == k for s, k in zip(sets, own["set_id"], strict=True)])
+        good = good[~own["node"].iloc[good].duplicated().to_numpy()]
+        own, sets = own.iloc[good], [sets[g] for g in good]
         node, copies, block = own["node"].to_numpy(), own["copies"].to_numpy(), own["block"].to_numpy()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):
@@ -237,18 +238,19 @@ def verified(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (with first: doc_id and uid) with the texts of its rows; several if a doc_id is not unique."""
+    """wanted (with first: doc_id, uid and th) with the texts of its rows: one for each, but for texts of one doc_id whose hashes clash."""
     small = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("first.doc_id").alias("__id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("__doc"), "text")
-    texts = texts.join(F.broadcast(ids) if small else ids, texts["__doc"].eqNullSafe(ids["__id"]), "left_semi")
-    return wanted.join(texts, wanted["first.doc_id"].eqNullSafe(texts["__doc"])).drop("__doc")
+    ids = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__key")).distinct()
+    texts = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__th"), "text")
+    same = texts["__doc"].eqNullSafe(ids["__id"]) & (texts["__th"] == ids["__key"])
+    texts = texts.join(F.broadcast(ids) if small else ids, same, "left_semi").distinct()
+    return wanted.join(texts, wanted["first.doc_id"].eqNullSafe(texts["__doc"]) & (wanted["first.th"] == texts["__th"])).drop("__doc", "__th")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """uid, doc_id, th, class_id, n_links, kept (one row of each class) of every row."""
     rows = sketched(docs)
-    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.max("size").alias("size"))
+    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "th")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.max("size").alias("size"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = clusters(nodes)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))

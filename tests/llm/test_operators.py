@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -162,6 +163,39 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
         assert (r.n_links, r.class_id) == (n, 0 if r.doc_id < 100 else r.doc_id)
 
 
+@pytest.mark.parametrize("few", [1_000_000, -1])
+def test_ngram_join_null_and_repeated_ids(spark, few, monkeypatch):
+    """Near copies under null doc_ids, and different texts under one doc_id, keep links and classes."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", few)
+    rnd = random.Random(12)
+    rows = []
+    for ids in ([None] * 6, [7] * 4, [None, 3, 3, None, 9]):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        for i in ids:
+            words = list(base)
+            words[rnd.randrange(120)] = f"x{len(rows)}"
+            rows.append((i, " ".join(words)))
+    rows += [rows[0], rows[0], rows[7]]
+    rows += [(i, " ".join(f"y{k}{n}" for n in range(40))) for k, i in enumerate([None, None, 7, 7, 3])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    near = [[b for b, t in enumerate(sets) if 5 * len(s & t) >= 4 * len(s | t)] for s in sets]
+    assert all(near[b] == own for own in near for b in own)  # so a row's class is its near rows
+    expected = Counter((i, min((rows[b][0] for b in own if rows[b][0] is not None), default=None), len(own) - 1) for (i, _), own in zip(rows, near, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.join(docs)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out.collect()) == expected
+    assert ngram_join.kept_rows(docs).select("text").distinct().count() == len({tuple(own) for own in near})
+
+
+def test_ngram_join_texts_that_clash():
+    """Of several texts for a node, the one of its set is verified, wherever it stands."""
+    texts = [" ".join(f"a{k}" for k in range(60)), " ".join(f"a{k}" for k in range(58)), "another text " * 9]
+    ids = [ngram_join.set_id(s) for s in ngram_join.ngram_sets([t.encode() for t in texts])]
+    part = [(0, 0, 0, 0, 10, ids[0], 1, texts[2]), (0, 0, 0, 0, 10, ids[0], 1, texts[0]), (0, 0, 0, 0, 11, ids[1], 1, texts[1])]
+    got = ngram_join.verified(pd.DataFrame(part, columns=["component", "low", "high", "block", "node", "set_id", "copies", "text"]))
+    assert sorted(map(tuple, got[["node", "other", "links"]].to_numpy().tolist())) == [(10, 10, 1), (11, 10, 1)]
+
+
 @pytest.mark.parametrize("few", [500_000, -1])
 def test_components(spark, few, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST_EDGES", few)

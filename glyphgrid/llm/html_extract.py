@@ -3,11 +3,14 @@
 The standard-library parser streams events; block tags end a line (a block of text). For each line the text length and
 the number of tags since the line before give a text-to-tag ratio (text in links counts as tags do, against it). The ratios
 are smoothed with a Gaussian kernel and lines above a threshold (a share of their standard deviation) form clusters:
-the content. The region selected is the innermost element that holds nearly all content of the clusters; all of its
-lines in page order are the main text, short ones included, but for lines inside boilerplate elements.
+the content. The region selected is the innermost element that holds nearly all content of the clusters, and, without an
+article or main element around it, what goes with it beside it: content clusters, headings, and headed sections that
+aren't mostly links. All of its lines in page order are the main text, short ones included, but for lines inside
+boilerplate elements.
 
 Boilerplate elements: by tag (nav, footer, aside, form, script, style, ...; header outside an article), by role, or by a
-word of class or id (menu, sidebar, advert, cookie, comment, ...); hidden elements too.
+word of class or id (menu, sidebar, advert, cookie, comment, ...); hidden elements too. A form, header, role or word doesn't
+make boilerplate of an element around the page's article or main element, or around most of the page's text.
 
 Cases: null or empty html gives an empty string, as does a page without a text line. If all lines are boilerplate the
 text is empty. Unclosed or stray tags are allowed: ends are matched to the nearest open element of the name. Very long
@@ -32,14 +35,23 @@ THRESHOLD = 0.3
 #: the selected element holds at least this share of the content's characters (an article or main element around it is
 #: taken whole)
 HOLDS = 0.95
+#: an element marked by form, header, role or a word of layout isn't boilerplate if it holds over this share of the page's text
+#: outside links (one marked by a word of FOREIGN: at least HOLDS)
+MOST = 0.5
 
 #: Names of elements.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SKIPPED = frozenset("head title nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input label menu dialog search".split())
+SKIPPED = frozenset("head title nav footer aside script style noscript template iframe object embed svg canvas button select textarea input label menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond disqus reply replies discussion footer toolbar pagination pager skip tracking".split())
+#: those of MARKS that name texts of others, which may be longer than the page's own and hold articles
+FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup login related recommended comment comments commentlist respond disqus reply replies discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: what follows a heading as its own text
+RUNNING = frozenset("p ul ol dl blockquote pre table figure".split())
+NONE, LAYOUT, OTHERS, HARD = range(4)
 #: boilerplate only outside an article or main element, where they name its head
 OUTER_MARKS = frozenset("header masthead branding".split())
 LINE_LIKE = re.compile(r"[^a-z]+")
@@ -49,14 +61,15 @@ CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "optgroup"
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, link characters, element number, boilerplate)."""
+    """Collects lines: (text, tags, link characters, element number), and how each element is marked as boilerplate."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.stack: list[tuple[str, int]] = [("", 0)]
         self.parents = [0]
         self.kinds = [""]
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.marks = [NONE]
+        self.lines: list[tuple[str, int, int, int]] = []
         self.held: list[str] = []
         self.tags = self.link = self.links_open = 0
 
@@ -65,15 +78,14 @@ class Lines(HTMLParser):
             text = BLANK.sub(" ", "".join(self.held)).strip()
             self.held = []
             if text:
-                _, element, skip = self.stack[-1]
-                self.lines.append((text, self.tags, self.link, element, skip))
+                self.lines.append((text, self.tags, self.link, self.stack[-1][1]))
                 self.tags = self.link = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack[-4:]):
+        if tag in CLOSES_P and any(t == "p" for t, _ in self.stack[-4:]):
             self.end_element("p")
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and self.stack[-1][0] == tag:
             self.end_element(tag)
@@ -81,33 +93,34 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links_open += 1
-        skip = self.stack[-1][2] or self.boilerplate(tag, attrs)
+        self.marks.append(self.boilerplate(tag, attrs))
         self.parents.append(self.stack[-1][1])
         self.kinds.append(tag)
-        self.stack.append((tag, len(self.parents) - 1, skip))
+        self.stack.append((tag, len(self.parents) - 1))
 
-    def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        outer = not any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag in SKIPPED or tag == "header" and outer:
-            return True
+    def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        outer = not any(t in ("article", "main") for t, _ in self.stack)
+        if tag in SKIPPED:
+            return HARD
+        mark = LAYOUT if tag == "form" or tag == "header" and outer else NONE
         if tag in ("body", "html", "article", "main"):
-            return False
+            return NONE
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                return HARD
+            if name == "role" and value in ROLES:
+                mark = max(mark, LAYOUT)
             if name in ("class", "id"):
                 words = LINE_LIKE.split(value)
                 if not MARKS.isdisjoint(words) or outer and not OUTER_MARKS.isdisjoint(words):
-                    return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-        return False
+                    mark = max(mark, LAYOUT if FOREIGN.isdisjoint(words) else OTHERS)
+        return mark
 
     def end_element(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                self.links_open -= sum(t == "a" for t, _, _ in self.stack[i:])
+                self.links_open -= sum(t == "a" for t, _ in self.stack[i:])
                 del self.stack[i:]
                 return
 
@@ -150,6 +163,79 @@ def content_clusters(lines: list[tuple[str, int, int, int, bool]]) -> np.ndarray
     return (smooth > THRESHOLD * ratio.std()) & (smooth > 0) if ratio.std() else size > 0
 
 
+def spread(own: list[bool], parents: list[int]) -> list[bool]:
+    """Whether each element or one around it has the property (an element's number is larger than its parent's)."""
+    out = list(own)
+    for e in range(1, len(out)):
+        out[e] = out[e] or out[parents[e]]
+    return out
+
+
+def added_up(own: list[float], parents: list[int]) -> list[float]:
+    """The sums over each element and all inside it."""
+    out = list(own)
+    for e in range(len(out) - 1, 0, -1):
+        out[parents[e]] += out[e]
+    return out
+
+
+def boilerplate(parser: Lines) -> list[bool]:
+    """Whether each element is boilerplate. Marks go from elements that hold most of the page's text or its article."""
+    parents, kinds, marks = parser.parents, parser.kinds, list(parser.marks)
+    hard = spread([m == HARD for m in marks], parents)
+    if any(m in (LAYOUT, OTHERS) and not hard[e] for e, m in enumerate(marks)):
+        own = [0.0] * len(parents)
+        for text, _, link, e in parser.lines:
+            own[e] += max(0, len(text) - link) * (not hard[e])
+        prose = added_up(own, parents)
+        for e, m in enumerate(marks):
+            if prose[e] and (m == LAYOUT and prose[e] > MOST * prose[0] or m == OTHERS and prose[e] >= HOLDS * prose[0]):
+                marks[e] = NONE
+        others, skip = spread([m == OTHERS for m in marks], parents), spread([m != NONE for m in marks], parents)
+        found = [e for e, k in enumerate(kinds) if k == "main" and prose[e]] or [e for e, k in enumerate(kinds) if k == "article" and prose[e] and not others[e]]
+        at = max(found, key=prose.__getitem__, default=0)
+        usable = sum(x for x, s in zip(own, skip, strict=True) if not s)
+        if kinds[at] == "main" or 2 * prose[at] >= usable:
+            while at := parents[at]:
+                marks[at] = NONE
+    return spread([m != NONE for m in marks], parents)
+
+
+def beside(lines: list[tuple[str, int, int, int, bool]], content: np.ndarray, parser: Lines, region: int) -> set[int]:
+    """Lines outside the region that go with it: of each element beside the region or an element around it all lines if it
+    is not mostly links and is mostly content, has a heading or follows one; else those in content clusters."""
+    parents, kinds = parser.parents, parser.kinds
+    around = {region, 0}
+    at = region
+    while at := parents[at]:
+        around.add(at)
+    top = list(range(len(parents)))  # the outermost element around each that doesn't hold the region
+    headed = [k in HEADINGS for k in kinds]
+    for e in range(1, len(top)):
+        if parents[e] not in around or parents[e] == region:
+            top[e] = top[parents[e]]
+            headed[e] = headed[e] or headed[parents[e]]
+    groups: dict[int, list[int]] = {}
+    for i, (*_, e, skip) in enumerate(lines):
+        if not skip and top[e] != region:
+            groups.setdefault(-i - 1 if top[e] in around else top[e], []).append(i)
+    out, led = set(), None
+    for key, own in groups.items():
+        size, links = (sum(x) for x in zip(*((len(lines[i][0]), lines[i][2]) for i in own), strict=True))
+        good = sum(len(lines[i][0]) for i in own if content[i])
+        with_heading = any(headed[lines[i][3]] for i in own)
+        follows = key > 0 and led == parents[key] and kinds[key] in RUNNING
+        if 2 * links < size and (2 * good > size or with_heading or follows):
+            out.update(own)
+        else:
+            out.update(i for i in own if content[i])
+        if key > 0 and kinds[key] in HEADINGS:
+            led = parents[key]
+        elif not follows:
+            led = None
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -157,7 +243,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    skipped = boilerplate(parser)
+    lines = [(*x, skipped[x[3]]) for x in parser.lines]
     usable = [not skip for *_, skip in lines]
     if not any(usable):
         return ""
@@ -165,26 +252,23 @@ def main_text(html: str | None) -> str:
     if not content.any():
         content = np.array(usable)
     weight = np.array([len(t) for t, *_ in lines], float) * content
-    held = np.zeros(len(parser.parents))
+    own = [0.0] * len(parser.parents)
     for i in np.flatnonzero(content):
-        held[lines[i][3]] += weight[i]
-    for e in range(len(held) - 1, 0, -1):  # an element's number is larger than its parent's
-        held[parser.parents[e]] += held[e]
+        own[lines[i][3]] += float(weight[i])
+    held = np.array(added_up(own, parser.parents))
     enough = np.flatnonzero(held >= HOLDS * held[0])
     region = int(enough.max())  # the innermost: the elements that hold so much are on one path
     while region and parser.kinds[region] in ("p", "b", "i", "em", "strong", "span", "a", "li", "td", "blockquote", "h1", "h2", "h3", "pre", "font", "u", "small", "code"):
         region = parser.parents[region]
-    at = region
+    at, whole = region, False
     while at:  # an article is taken whole
         if parser.kinds[at] in ("article", "main"):
-            region = at
+            region, whole = at, True
             break
         at = parser.parents[at]
-    inside = np.zeros(len(parser.parents), bool)
-    inside[region] = True
-    for e in range(region + 1, len(inside)):
-        inside[e] = inside[parser.parents[e]]
-    return "\n".join(t for (t, _, _, e, skip) in lines if inside[e] and not skip)
+    inside = spread([e == region for e in range(len(parser.parents))], parser.parents)
+    more = set() if whole or not region else beside(lines, content, parser, region)
+    return "\n".join(t for i, (t, _, _, e, skip) in enumerate(lines) if not skip and (inside[e] or i in more))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -473,3 +473,33 @@ def test_html_extract(spark):
     main = "Title & more\nFirst paragraph goes on.\nSecond <one>, longer than the first one and with more words in it.\nTo.\nA quote of some length, kept.\nitem one\nitem two"
     assert out == {1: [main, main], 2: [""], 3: [""], None: ["only"], 5: ["no markup at all"], 6: [""], 7: ["deep text"]}
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "".join(f"<p>Paragraph {i} of the text says at some length what there is to say about it, and then a little more.</p>" for i in range(60))
+
+
+def test_html_extract_keeps_what_stands_beside_the_region():
+    nav = "<nav><a href=/>Home</a></nav>"
+    links = "<div><h3><a href=/x>Popular</a></h3><ul><li><a href=/1>Other page one</a><li><a href=/2>Other page two</a></ul></div>"
+    last = "<h2>Last section</h2><p>It ends here.</p><ul><li>one<li>two</ul>"
+    want = ["The headline", "A short lead.", *re.findall("<p>(.*?)</p>", LONG), "Last section", "It ends here.", "one", "two"]
+    for page in (
+        f"<div><h1>The headline</h1><p>A short lead.</p></div><div>{LONG}</div><div>{last}</div>",
+        f"<div><div><h1>The headline</h1><p>A short lead.</p></div><div><div>{LONG}</div></div></div><section>{last}</section>",
+        f"<h1>The headline</h1><p>A short lead.</p><div>{LONG}</div>{last}",
+    ):
+        assert html_extract.main_text(f"<html><body>{nav}{page}{links}<footer>us</footer></body></html>").split("\n") == want
+
+
+def test_html_extract_marked_elements_around_the_article():
+    want = re.findall("<p>(.*?)</p>", LONG)
+    comments = f'<section id="comments"><article class="comment">{LONG.replace("Paragraph", "Comment")}{LONG.replace("Paragraph", "More")}</article></section>'
+    for around in ('<div class="content-sidebar-wrap">{}</div>', '<div class="site has-sidebar">{}</div>', "<form>{}</form>", '<form><div id="main-header">{}</div></form>', '<div class="ads-off"><div role="banner">{}</div></div>'):
+        for kind in ("article", "main", "div"):
+            page = around.format(f'<{kind}>{LONG}</{kind}><div class="sidebar"><p>Some words of a side bar.</p></div>')
+            assert html_extract.main_text(f"<body><nav>Menu</nav>{page}<footer>us</footer></body>").split("\n") == want
+        if "ads" not in around:
+            for kind in ("article", "main"):
+                page = around.format(f"<{kind}>{LONG}</{kind}>")
+                assert html_extract.main_text(f"<body>{page}{comments}</body>").split("\n") == want
+    assert html_extract.main_text(f'<body><div>{LONG}</div>{comments}<div class="menu"><p>{"Some words of a menu. " * 20}</p></div></body>').split("\n") == want

@@ -7,7 +7,8 @@ Base patterns (fixed values of the contract): assign, access, hex. The method ad
   endpoint  a URL or host of a service
 Each part has a scope (SCOPE code points to either side, cut at blank lines). Scopes are joined by interval overlap
 with a sweep over sorted bounds; a weak `material` span is reported only where an identifier and an endpoint, or an
-identifier alone within half the scope, co-occur with it; the identifier and endpoint are then reported too.
+identifier alone within half the scope, co-occur with it; the nearest identifier and endpoint are then reported too. Base
+`assign` and `hex` spans are sure secrets: all identifiers and endpoints in their scope are reported.
 
 Cases: null text is empty; a text without matches gives zero counts, the digest of an empty string, and empty spans.
 Texts are scanned whole whatever their length. Every input row gives one row; extra columns aren't read.
@@ -59,12 +60,14 @@ def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, int, str
 
 
 def linked(text: str, base: list[tuple[int, int, str]], data: bytes) -> list[tuple[int, int, str]]:
-    """Weak parts whose scopes overlap complementary ones."""
+    """Weak parts whose scopes overlap complementary ones, and what is in the scope of sure secrets."""
     low = data.lower()
     ids = [(a, b, "access") for a, b, k in base if k == "access"]
     if any(k in low for k in KEY_ID_WORDS):
         ids += [(m.start(1), m.end(1), "key_id") for m in KEY_ID.finditer(text)]
-    if not ids or b"1" * 20 not in data.translate(_LONG_CLASS):
+    sure = [x for x in base if x[2] != "access"]
+    long = bool(ids) and b"1" * 20 in data.translate(_LONG_CLASS)
+    if not sure and not long:
         return []
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if any(k in low for k in ENDPOINT_WORDS) else []
     taken = sorted([(a, b) for a, b, _ in base] + [(a, q.start() if (q := QUERY.search(text, a, b)) else b) for a, b, _ in ends])
@@ -74,34 +77,44 @@ def linked(text: str, base: list[tuple[int, int, str]], data: bytes) -> list[tup
         top = max(top, b)
         reach.append(top)
     weak = []
-    for m in MATERIAL.finditer(text):
+    for m in MATERIAL.finditer(text) if long else ():
         a, b = m.span()
         k = bisect.bisect_left(first, b) - 1
         word = m[0]
         if (k < 0 or reach[k] <= a) and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
             weak.append((a, b, "material"))
-    if not weak:
+    if not weak and not (sure and (ids or ends)):
         return []
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
     ids.sort()
     ends.sort()
     id_at, end_at, out = [x[0] for x in ids], [x[0] for x in ends], set()
-    for part in weak:
+
+    def scope(part: tuple[int, int, str], within: int) -> tuple[int, int]:
         k = bisect.bisect_right(cuts, part[0])
         low_cut, high_cut = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text)
+        return max(low_cut, part[0] - within), min(high_cut, part[1] + within)
 
-        def near(starts: list[int], within: int, part=part, low_cut=low_cut, high_cut=high_cut) -> int | None:
-            """The start nearest to the part inside its scope: complementary parts are found by position, not paired."""
-            lo, hi = max(low_cut, part[0] - within), min(high_cut, part[1] + within)
-            k = bisect.bisect_left(starts, part[0])
-            best = [i for i in (k - 1, k) if 0 <= i < len(starts) and lo <= starts[i] < hi]
-            return min(best, key=lambda i: abs(starts[i] - part[0]), default=None)
+    def near(starts: list[int], part: tuple[int, int, str], within: int) -> int | None:
+        """The start nearest to the part inside its scope: complementary parts are found by position, not paired."""
+        lo, hi = scope(part, within)
+        k = bisect.bisect_left(starts, part[0])
+        best = [i for i in (k - 1, k) if 0 <= i < len(starts) and lo <= starts[i] < hi]
+        return min(best, key=lambda i: abs(starts[i] - part[0]), default=None)
 
-        who, where = near(id_at, SCOPE), near(end_at, SCOPE)
-        if who is not None and (where is not None or near(id_at, SCOPE // 2) is not None):
+    for part in weak:
+        who, where = near(id_at, part, SCOPE), near(end_at, part, SCOPE)
+        if who is not None and (where is not None or near(id_at, part, SCOPE // 2) is not None):
             out.add(part)
             out |= {ids[who]} if ids[who][2] == "key_id" else set()
             out |= {ends[where]} if where is not None else set()
+    for part in sorted(sure):
+        lo, hi = scope(part, SCOPE)
+        for i in range(bisect.bisect_left(id_at, lo), bisect.bisect_left(id_at, hi)):
+            a, b, kind = ids[i]
+            if kind == "key_id" and (b <= part[0] or a >= part[1]):  # not the secret itself
+                out.add(ids[i])
+        out.update(ends[bisect.bisect_left(end_at, lo) : bisect.bisect_left(end_at, hi)])
     return sorted(out)
 
 

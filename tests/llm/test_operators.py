@@ -419,6 +419,19 @@ def test_credential_linking():
     assert secret_scan.scan_text("Secret: ſecret = tokentokentoken")[0] == []
 
 
+def test_credential_linking_of_base_spans():
+    """Identifiers and endpoints in the scope of a sure secret are reported, and the identifiers masked."""
+    for secret, kind in (("secret = Hn-some.long_value", "assign"), ("deadbeef01234567deadbeef", "hex")):
+        text = f"client_id = app42, user: bob1, {secret}, https://api.example.com/v1"
+        base, more = secret_scan.scan_text(text)
+        assert [k for _, _, k in base] == [kind]
+        assert [(text[a:b], k) for a, b, k in more] == [("app42", "key_id"), ("bob1", "key_id"), ("https://api.example.com/v1", "endpoint")]
+        assert secret_scan.masked(text) == f"client_id = <key_id>, user: <key_id>, <{kind}>, https://api.example.com/v1"
+        assert secret_scan.scan_text(f"client_id = app42\n\n{secret}")[1] == []
+        assert secret_scan.scan_text("client_id = app42" + " x" * 600 + f" {secret}")[1] == []
+    assert secret_scan.scan_text("user_id: 1 client_id = deadbeef01234567deadbeef")[1] == []
+
+
 def test_credential_linking_of_assigned_and_long_material():
     """Secrets that directly follow '=' (env lines, query strings, connection strings) and runs of over 128 characters."""
     weak, long = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zk39dkQpR7mVx82LwN5t" * 20

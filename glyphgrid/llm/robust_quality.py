@@ -11,7 +11,8 @@ statistic that is constant in most of a group rejects nothing by tiny deviations
 
 Cases: null or empty text has no words and fails the base rule. A null language or source is a group of its own. Groups
 with fewer than LEAST rows that pass the base rule are judged together with the other such groups of their language; if
-these are fewer than LEAST too, all are kept. Repeated rows count and are returned each. An empty
+these are fewer than LEAST too, by a fit of all rows of the language, and if those are, by a fit of all rows of the table
+(with fewer than LEAST rows in all there is no fit, and the base rule alone decides). Repeated rows count and are returned each. An empty
 table gives no rows. Other columns aren't read.
 """
 
@@ -154,7 +155,21 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = stage(keys(transformed(statistics(docs))), "quality", scan=True)
     by = ["g_lang", "g_source"]
     few = rows.select(*by).distinct().count() <= BROADCAST_GROUPS
-    small = stage(rows.groupBy(*by).agg(F.count_if(~F.col("base_failed")).alias("n")).where(F.col("n") < LEAST), "small")
-    rows = rows.join(joinable(small, few), by, "left").withColumn("g_source", F.when(F.col("n").isNull(), F.col("g_source")).otherwise("\x01")).drop("n")
-    fit = fitted(rows.where(~F.col("base_failed")), few)
-    return distances(rows, fit, few).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("g_lang", "g_source", *NAMES)
+    counts = rows.groupBy(*by).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    small = stage(counts.where(F.col("n") < LEAST), "small")
+    # languages whose small groups are too few even together; wide: with their large groups too
+    rest = small.groupBy("g_lang").agg(F.sum("n").alias("n")).where(F.col("n") < LEAST).select("g_lang")
+    rest = stage(rest.join(counts, "g_lang").groupBy("g_lang").agg((F.sum("n") < LEAST).alias("wide")), "rest")
+    marked = rows.join(joinable(small, few), by, "left").join(joinable(rest, few), "g_lang", "left")
+    plain = F.col("n").isNull()
+    source = F.when(plain, F.col("g_source")).when(F.col("wide").isNull(), "\x01").when(F.col("wide"), "\x03").otherwise("\x02")
+    marked = marked.withColumns({"g_source": source, "g_lang": F.when(~plain & F.col("wide"), "\x03").otherwise(F.col("g_lang"))}).drop("n", "wide")
+    good = ~F.col("base_failed")
+    learn = marked.where(good & ~F.col("g_source").isin("\x02", "\x03"))
+    kinds = {r["wide"] for r in rest.select("wide").distinct().collect()}
+    if False in kinds:
+        learn = learn.unionByName(rows.where(good).join(joinable(rest.where(~F.col("wide")).select("g_lang"), few), "g_lang", "left_semi").withColumn("g_source", F.lit("\x02")))
+    if True in kinds:
+        learn = learn.unionByName(rows.where(good).withColumns({"g_lang": F.lit("\x03"), "g_source": F.lit("\x03")}))
+    fit = fitted(learn, few)
+    return distances(marked, fit, few).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)).drop("g_lang", "g_source", *NAMES)

@@ -318,6 +318,20 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in out)
 
 
+def test_outliers_of_small_groups_go(spark):
+    """Sources and languages of a few rows are judged by the fit of their language, or of all rows."""
+    rnd = random.Random(9)
+    clean = lambda: " ".join("".join(rnd.choice(["re", "the", "or", "tion", "a"]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(40, 400)))
+    junk = lambda: " ".join(f"w{rnd.randrange(999)}{rnd.choice(['###', '$$$', '%%%'])}" for _ in range(100))
+    rows = [(i, clean(), "en", "large") for i in range(200)]
+    for k, (lang, source) in enumerate((("en", "small"), ("en", None), ("de", "large"), (None, "small"))):
+        rows += [(1000 * (k + 1) + i, clean(), lang, source) for i in range(4)] + [(-1000 * (k + 1) - i, junk(), lang, source) for i in range(3)]
+    out = robust_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(out) == len(rows) and all(r.kept == (r.doc_id >= 0) for r in out)
+    few = robust_quality.judge(spark.createDataFrame(rows[200:], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept and r.d2 is None for r in few)
+
+
 def test_mcd_matches_numpy(spark):
     """The precision of SQL expressions is the inverse of numpy's regularised covariance."""
     rnd = np.random.default_rng(3)

@@ -70,11 +70,12 @@ def listing_runs(listing: DataFrame, range_size: int = 1 << 20) -> DataFrame:
 
 def containment(texts: DataFrame, passages: DataFrame, seed: int = 24) -> DataFrame:
     """item_id, doc_id, occ of passages (item_id, text) inside texts: long-pattern search by seeds. The first `seed`
-    characters of each passage are looked up by window hash in the texts; hits are compared in full."""
+    characters of each passage (all of a shorter one) are looked up by window hash in the texts; hits are compared in full. Empty
+    passages have no place."""
     from .count import code_points, window_keys
     import numpy as np
 
-    rows = passages.where(F.length("text") >= seed).select("item_id", "text").distinct()
+    rows = passages.where(F.length("text") > 0).select("item_id", "text").distinct()
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-n // BROADCAST_PASSAGES), -(-size // BROADCAST_CHARS))
     if parts > 1:  # a scan of the texts for each part of the passages
@@ -84,21 +85,26 @@ def containment(texts: DataFrame, passages: DataFrame, seed: int = 24) -> DataFr
             found = one if found is None else found.unionByName(one)
         return found
     own = [(r["item_id"], r["text"]) for r in rows.collect()]
-    keys = np.array([window_keys(code_points(t[:seed]), seed)[0] for _, t in own], np.uint64)
-    order = np.argsort(keys, kind="stable")
-    shared = texts.sparkSession.sparkContext.broadcast((keys[order], [own[i] for i in order]))
+    tables = {}
+    for size in sorted({min(len(t), seed) for _, t in own}):
+        some = [x for x in own if min(len(x[1]), seed) == size]
+        keys = np.array([window_keys(code_points(t[:seed]), size)[0] for _, t in some], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        tables[size] = (keys[order], [some[i] for i in order])
+    shared = texts.sparkSession.sparkContext.broadcast(tables)
 
     def kernel(text: str) -> dict:
-        known, items = shared.value
-        key = window_keys(code_points(text), seed)
-        at = np.searchsorted(known, key)
         found: dict[int, int] = {}
-        for i in np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == key)).tolist() if len(known) else []:
-            k = int(at[i])
-            while k < len(known) and known[k] == key[i]:
-                if text.startswith(items[k][1], i):
-                    found[items[k][0]] = found.get(items[k][0], 0) + 1
-                k += 1
+        cp = code_points(text)
+        for size, (known, items) in shared.value.items():
+            key = window_keys(cp, size)
+            at = np.searchsorted(known, key)
+            for i in np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == key)).tolist():
+                k = int(at[i])
+                while k < len(known) and known[k] == key[i]:
+                    if text.startswith(items[k][1], i):
+                        found[items[k][0]] = found.get(items[k][0], 0) + 1
+                    k += 1
         return {"item_id": list(found), "occ": list(found.values())}
 
     return per_text(texts, "doc_id long, item_id long, occ long", kernel)

@@ -75,6 +75,14 @@ def test_locate_and_inverse(case):
     assert back == texts
 
 
+def test_containment_of_short_passages(spark):
+    texts = [(1, "abcabc and é漢 and abcabc"), (2, "x" * 30), (3, ""), (4, None)]
+    passages = [(1, "abc"), (2, "é漢"), (3, "x" * 23), (4, "x" * 24), (5, "z"), (6, ""), (7, None), (8, "abcabc and é漢 and abcabc")]
+    expected = {(d, k, sum(t.startswith(p, i) for i in range(len(t)))) for d, t in texts if t for k, p in passages if p and p in t}
+    found = locate.containment(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string"))
+    assert {tuple(r) for r in found.select("doc_id", "item_id", "occ").collect()} == expected
+
+
 def test_containment_in_parts(spark, monkeypatch):
     rnd = random.Random(1)
     base = ["".join(rnd.choice("ab ") for _ in range(300)) for _ in range(20)]

@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six ASCII white-space characters of every contract here: \x20 and \x09-\x0D (what bytes.split() cuts at).
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: files of a staged table that comes out of a shuffle: this many at least, then so many for each core of the cluster
-LEAST_FILES, FILES_PER_CORE = 48, 3
+#: a staged table that comes out of a shuffle has this many files at least, and one for so many bytes of what is read for it
+LEAST_FILES, FILE_BYTES = 48, 8 << 20
 
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,37 +40,50 @@ def stage_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. Tables that
-    come out of a shuffle are written as a few files for each core at most; scan: the table comes straight from a scan of
-    texts, and keeps its tasks."""
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. Every file costs
+    an executor a process or two, so a table that comes out of a shuffle of more partitions than its inputs have
+    FILE_BYTES is written by fewer tasks (LEAST_FILES at least), whatever the cluster's size; scan: the table keeps its tasks."""
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/glyphgrid/{label}-{uuid.uuid4().hex}"
-    most = max(LEAST_FILES, FILES_PER_CORE * spark.sparkContext.defaultParallelism)
-    if not scan and int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
-        df = df.coalesce(most)
+    if not scan:
+        most = max(LEAST_FILES, bytes_read(df) // FILE_BYTES)
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
+            df = df.coalesce(most)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], rows: int = 256) -> DataFrame:
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, by the planner's statistics (file sizes)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(leaves.next().stats().sizeInBytes())
+    return total
+
+
+def by_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], rows: int = 256) -> DataFrame:
     """mapInArrow with a worker-side constructor: make() runs once a task and returns a function from a record
     batch (of `rows` rows at most, so that a worker's memory doesn't follow Spark's batch size) to dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    kinds = StructType.fromDDL(schema)
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, work = to_arrow_schema(kinds), make()
         for batch in batches:
             parts = (batch.slice(i, rows) for i in range(0, len(batch), rows))
             for columns in (c for part in parts for c in work(part)):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([column(columns[f.name], f.type) for f in out], schema=out)
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def column(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) and values.type == kind else pa.array(values, type=kind)
+
+
 def release() -> None:
     """Gives freed memory of a Python worker back to the system: workers outlive tasks, and what one stage used would
     otherwise stay beside what the next one needs."""
@@ -151,3 +165,11 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = f"_{name}"
+    return name

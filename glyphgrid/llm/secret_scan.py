@@ -5,10 +5,11 @@ Base patterns (fixed values of the contract): assign, access, hex. The method ad
   material  20 or more characters of base64/hex alphabet (+ and / also percent-encoded), mixed letters and digits, not
             part of a base span or of an endpoint before its query; it may follow '=' (env lines, query strings)
   endpoint  a URL or host of a service
-Each part has a scope (SCOPE code points to either side, cut at blank lines). Scopes are joined by interval overlap
-with a sweep over sorted bounds; a weak `material` span is reported only where an identifier and an endpoint, or an
-identifier alone within half the scope, co-occur with it; the nearest identifier and endpoint are then reported too. Base
-`assign` and `hex` spans are sure secrets: all identifiers and endpoints in their scope are reported.
+A secret has a scope (SCOPE code points to either side, cut at blank lines). Scopes are joined with the identifiers and
+endpoints that overlap them, by bisection in sorted bounds: every part in a scope is found, and a scope has room for few.
+A weak `material` span is reported only where an identifier other than itself and an endpoint overlap its scope, or an
+identifier half its scope; all identifiers and endpoints in its scope are then reported too. Base `assign` and `hex` spans
+are sure secrets: all identifiers and endpoints in their scope are reported.
 
 Cases: null text is empty; a text without matches gives zero counts, the digest of an empty string, and empty spans.
 Texts are scanned whole whatever their length. Every input row gives one row; extra columns aren't read.
@@ -34,7 +35,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "key_id", "material", "endpoint")
 
 SCOPE = 400
-KEY_ID = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:name)?|account(?:_?(?:id|name))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
+KEY_ID = re.compile(r"""(?<!secret)(?<!secret[_-])(?:access_?key(?:_?id)?|client_?id|user(?:name)?|account(?:_?(?:id|name))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})""", re.I | re.A)
 KEY_ID_WORDS = (b"access", b"client", b"user", b"account", b"login")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20\"'<>]+|[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)\b", re.A)
 ENDPOINT_WORDS = (b"://", b"amazonaws.com", b"core.windows.net", b"googleapis.com")
@@ -59,65 +60,70 @@ def base_spans(text: str, data: bytes | None = None) -> list[tuple[int, int, str
     return found
 
 
+class Parts:
+    """Spans of one pattern, in order: as they don't overlap each other, their starts and their ends both ascend."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans = spans
+        self.starts, self.ends = [x[0] for x in spans], [x[1] for x in spans]
+
+    def over(self, low: int, high: int) -> list[tuple[int, int, str]]:
+        """The spans that overlap [low, high)."""
+        return self.spans[bisect.bisect_right(self.ends, low) : bisect.bisect_left(self.starts, high)]
+
+
 def linked(text: str, base: list[tuple[int, int, str]], data: bytes) -> list[tuple[int, int, str]]:
     """Weak parts whose scopes overlap complementary ones, and what is in the scope of sure secrets."""
     low = data.lower()
-    ids = [(a, b, "access") for a, b, k in base if k == "access"]
-    if any(k in low for k in KEY_ID_WORDS):
-        ids += [(m.start(1), m.end(1), "key_id") for m in KEY_ID.finditer(text)]
+    access = Parts([x for x in base if x[2] == "access"])
+    named = Parts([(m.start(1), m.end(1), "key_id") for m in KEY_ID.finditer(text)] if any(k in low for k in KEY_ID_WORDS) else [])
     sure = [x for x in base if x[2] != "access"]
-    long = bool(ids) and b"1" * 20 in data.translate(_LONG_CLASS)
+    long = bool(access.spans or named.spans) and b"1" * 20 in data.translate(_LONG_CLASS)
     if not sure and not long:
         return []
-    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if any(k in low for k in ENDPOINT_WORDS) else []
-    taken = sorted([(a, b) for a, b, _ in base] + [(a, q.start() if (q := QUERY.search(text, a, b)) else b) for a, b, _ in ends])
-    first = [a for a, _ in taken]
-    reach, top = [], 0
-    for _, b in taken:
-        top = max(top, b)
-        reach.append(top)
-    weak = []
-    for m in MATERIAL.finditer(text) if long else ():
-        a, b = m.span()
-        k = bisect.bisect_left(first, b) - 1
-        word = m[0]
-        if (k < 0 or reach[k] <= a) and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
-            weak.append((a, b, "material"))
-    if not weak and not (sure and (ids or ends)):
+    ends = Parts([(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if any(k in low for k in ENDPOINT_WORDS) else [])
+    weak = materials(text, base, ends.spans) if long else []
+    if not weak and not (sure and (named.spans or ends.spans)):
         return []
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
-    ids.sort()
-    ends.sort()
-    id_at, end_at, out = [x[0] for x in ids], [x[0] for x in ends], set()
 
     def scope(part: tuple[int, int, str], within: int) -> tuple[int, int]:
         k = bisect.bisect_right(cuts, part[0])
         low_cut, high_cut = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text)
         return max(low_cut, part[0] - within), min(high_cut, part[1] + within)
 
-    def near(starts: list[int], part: tuple[int, int, str], within: int) -> int | None:
-        """The start nearest to the part inside its scope: complementary parts are found by position, not paired."""
-        lo, hi = scope(part, within)
-        k = bisect.bisect_left(starts, part[0])
-        best = [i for i in (k - 1, k) if 0 <= i < len(starts) and lo <= starts[i] < hi]
-        return min(best, key=lambda i: abs(starts[i] - part[0]), default=None)
+    def identifiers(part: tuple[int, int, str], within: int) -> list[tuple[int, int, str]]:
+        """All in the scope but those in the part itself."""
+        return [x for own in (access, named) for x in own.over(*scope(part, within)) if x[1] <= part[0] or x[0] >= part[1]]
 
-    for part in weak:
-        who, where = near(id_at, part, SCOPE), near(end_at, part, SCOPE)
-        if who is not None and (where is not None or near(id_at, part, SCOPE // 2) is not None):
+    out = set()
+    for part in (*weak, *sure):
+        who, where = identifiers(part, SCOPE), ends.over(*scope(part, SCOPE))
+        if part[2] == "material":
+            if not who or not where and not identifiers(part, SCOPE // 2):
+                continue
             out.add(part)
-            out |= {ids[who]} if ids[who][2] == "key_id" else set()
-            out |= {ends[where]} if where is not None else set()
-    for part in sorted(sure):
-        lo, hi = scope(part, SCOPE)
-        for i in range(bisect.bisect_left(id_at, lo), bisect.bisect_left(id_at, hi)):
-            a, b, kind = ids[i]
-            if kind == "key_id" and (b <= part[0] or a >= part[1]):  # not the secret itself
-                out.add(ids[i])
-        out.update(ends[bisect.bisect_left(end_at, lo) : bisect.bisect_left(end_at, hi)])
+        out.update(x for x in who if x[2] == "key_id")
+        out.update(where)
     return sorted(out)
 
 
+def materials(text: str, base: list[tuple[int, int, str]], endpoints: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Long mixed words that aren't part of a base span or of an endpoint before its query."""
+    taken = sorted([(a, b) for a, b, _ in base] + [(a, q.start() if (q := QUERY.search(text, a, b)) else b) for a, b, _ in endpoints])
+    first, reach, top = [a for a, _ in taken], [], 0
+    for _, b in taken:
+        top = max(top, b)
+        reach.append(top)
+    out = []
+    for m in MATERIAL.finditer(text):
+        a, b = m.span()
+        k = bisect.bisect_left(first, b) - 1
+        if (k < 0 or reach[k] <= a) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            out.append((a, b, "material"))
+    return out
+
+
 def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
@@ -169,15 +175,13 @@ def masked_rows(docs: DataFrame) -> DataFrame:
     """docs with every reported secret masked in text, and n_chars (if there) made the new length."""
     names = docs.columns
 
-    def run(batches):
-        for batch in batches:
-            text = [masked(t) for t in batch["text"].to_pylist()]
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(text, batch.schema.field("text").type)
-            if "n_chars" in names:
-                size = pa.array([None if t is None else len(t) for t in text], batch.schema.field("n_chars").type)
-                old = batch["n_chars"]
-                columns[names.index("n_chars")] = pa.array([a if t == u else b for a, b, t, u in zip(old.to_pylist(), size.to_pylist(), text, batch["text"].to_pylist(), strict=True)], old.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    def work(batch: pa.RecordBatch):
+        before = batch["text"].to_pylist()
+        text = [masked(t) for t in before]
+        columns = dict(zip(names, batch.columns, strict=True))
+        columns["text"] = text
+        if "n_chars" in names:
+            columns["n_chars"] = [n if t == u else len(t) for n, t, u in zip(batch["n_chars"].to_pylist(), text, before, strict=True)]
+        yield columns
+
+    return by_batch(docs, docs.schema, lambda: work)

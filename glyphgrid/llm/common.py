@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -136,11 +137,28 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: bytes of texts in which words are looked for at a time
+WORDS_AT_ONCE = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def words_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (maximal runs without the six white-space characters) of texts laid one after another with a line feed
     between them: starts, ends (in the joined bytes), 64-bit hashes, and the index of the first word of each text
     (one entry more than texts)."""
-    joined = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    whole = b"\n".join(parts) + b"\n"
+    made, at = [], 0
+    while at < len(whole):
+        cut = BLANK.search(whole, at + WORDS_AT_ONCE)
+        end = cut.end() if cut else len(whole)
+        made.append(_words(np.frombuffer(whole, np.uint8)[at:end], at))
+        at = end
+    starts, ends, h = made[0] if len(made) == 1 else (np.concatenate(x) for x in zip(*made, strict=True))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    return starts, ends, h, np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+
+
+def _words(joined: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -149,9 +167,7 @@ def words_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum((joined.astype(np.uint64) + np.uint64(0x51)) * powers(BASE, len(joined)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(joined))[starts]
-    h = mixed(h + (ends - starts).astype(np.uint64) * MIX_2)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-    return starts, ends, h, np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+    return starts + base, ends + base, mixed(h + (ends - starts).astype(np.uint64) * MIX_2)
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -173,3 +189,23 @@ def unused(name: str, df: DataFrame) -> str:
     while name in have:
         name = f"_{name}"
     return name
+
+
+class Recent:
+    """What a worker has learned, by word: two generations, so that words not used for a while are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.older = most, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words to learn; those of the older generation are known again."""
+        if len(self.known) + len(words) > self.most:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        return new

@@ -5,7 +5,8 @@ order, which is the depth-first order of their trie: the stack of the walk has,
 token of that prefix's encoding, and a word only works out the states below the prefix that it shares with the word
 before it. The last token of a prefix is the longest vocabulary suffix whose join with the state before it is stable: no
 merge across the border of the two tokens comes before the merges that build them. Following the last tokens back
-gives the encoding. Every word's ids are decoded again and must give its bytes.
+gives the encoding. Decoding goes from the ids of a whole text: their bytes are gathered from a table of all tokens' bytes
+in numpy and read as UTF-8 (what isn't is replaced, as the library does).
 
 Merges are tried in the order of the vocabulary, lowest rank first and leftmost first, as the tokenizers library does.
 Strings of added tokens are matched in the raw text first, as the library does by default.
@@ -22,11 +23,12 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_batch
+from .common import Recent, by_batch
 
 #: The split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,6 +57,11 @@ class TrieBpe:
         raw = {bytes(letters[c] for c in k): v for k, v in vocab.items() if k not in self.added}
         self.bytes_of = {v: k for k, v in raw.items()} | {v: k.encode() for k, v in self.added.items()}
         self.longest = max(map(len, raw))
+        #: the bytes of all tokens one after another, where each one's begin, and how many they are
+        top = max(self.bytes_of) + 1
+        self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(top)), np.uint8)
+        self.length = np.fromiter((len(self.bytes_of.get(i, b"")) for i in range(top)), np.int64, top)
+        self.begin = np.cumsum(self.length) - self.length
         #: rank of a token: the number of the merge that makes it; single bytes come before all merges
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
@@ -72,8 +79,8 @@ class TrieBpe:
         self.split = regex.compile(PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
+        #: ids of words: decimal ones joined by commas, and as 32-bit numbers
+        self.learned = Recent(KEPT_WORDS)
 
     def joins(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode as a, b. Walks back in time along a's right edge and b's left
@@ -157,25 +164,16 @@ class TrieBpe:
             stable.clear()
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> str:
+        size = self.length[ids]
+        end = np.cumsum(size)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.begin[ids] - end + size, size)
+        return self.blob[at].tobytes().decode("utf-8", "replace")
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    fresh.append(w.encode())
-        new = sorted(fresh)
+        new = sorted([w.encode() for w in self.learned.missing(words)])
         for word, ids in zip(new, self.encode_words(new), strict=True):
-            if self.decode(ids) != word:
-                raise ValueError(f"{word!r} doesn't come back from {ids}")
-            self.known[word.decode()] = ",".join(map(str, ids))
+            self.learned.known[word.decode()] = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
 
     def words(self, text: str) -> list[str]:
         try:
@@ -184,9 +182,9 @@ class TrieBpe:
             return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.split.findall(text)
 
-    def encode_all(self, texts: list[str]) -> list[tuple[str, str]]:
-        """Of each text: decimal ids joined by commas, and the text that they decode to. The new words of all texts
-        are learned in one walk of their trie."""
+    def encode_all(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
+        """Of each text: decimal ids joined by commas, and the ids. The new words of all texts are learned in one walk of
+        their trie."""
         parts: list[list[list[str] | str]] = []  # words of a stretch, or an added token
         for text in texts:
             if self.cut and any(a in text for a in self.added):
@@ -194,14 +192,16 @@ class TrieBpe:
             else:
                 parts.append([self.words(text)])
         self.learn({w for own in parts for words in own if not isinstance(words, str) for w in words})
-        known, out = self.known, []
+        known, out = self.learned.known, []
         for own in parts:
-            ids = [str(self.added[x]) if isinstance(x, str) else ",".join([known[w] for w in x]) for x in own if x]
-            out.append((",".join(ids), "".join([x if isinstance(x, str) else "".join(x) for x in own])))
+            cells = [c for x in own for c in ([known[w] for w in x] if not isinstance(x, str) else [(str(self.added[x]), np.int32(self.added[x]).tobytes())])]
+            out.append((",".join([a for a, _ in cells]), np.frombuffer(b"".join([b for _, b in cells]), np.int32)))
         return out
 
     def encode(self, text: str) -> tuple[str, str]:
-        return self.encode_all([text])[0]
+        """Ids joined by commas, and the text that they decode to."""
+        written, ids = self.encode_all([text])[0]
+        return written, self.decode(ids)
 
 
 @functools.lru_cache(maxsize=1)
@@ -230,9 +230,8 @@ def _encoded(docs: DataFrame, path: str, digests: bool) -> DataFrame:
             for first in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.slice(first, ROWS_AT_ONCE)
                 made = bpe.encode_all([t or "" for t in part["text"].to_pylist()])
-                n = [ids.count(",") + 1 if ids else 0 for ids, _ in made]
-                first_of, second_of = ([hashlib.sha256(x.encode()).hexdigest() if digests else x for x in column] for column in zip(*made, strict=True))
-                yield {"doc_id": part["doc_id"], "n_tokens": n, names[0]: first_of, names[1]: second_of}
+                shown = (lambda x: hashlib.sha256(x.encode()).hexdigest()) if digests else str
+                yield {"doc_id": part["doc_id"], "n_tokens": [len(ids) for _, ids in made], names[0]: [shown(w) for w, _ in made], names[1]: [shown(bpe.decode(ids)) for _, ids in made]}
 
         return work
 

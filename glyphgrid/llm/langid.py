@@ -1,19 +1,23 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of 1 to 3 lower-cased characters, hashed to DIMENSIONS cells, over a sample of at most about
-TRAIN_PER_LANGUAGE labelled documents of each language (chosen by a hash of doc_id; the bound keeps the work on the
-driver constant). Counts are summed on the executors; the driver gets one number per used cell and language. The
-log-probability matrix (DIMENSIONS x languages, float32) is broadcast, and texts are scored whole in numpy batches.
-Priors are the shares of all training documents. The score is the posterior probability of the predicted language.
+TRAIN_PER_LANGUAGE labelled documents of each language (chosen by a hash of doc_id; the bound keeps the fit's work
+constant). Counts are summed on the executors; the driver gets them in slices of SLICE cells. The log-probability matrix (cells x languages, float32) has MATRIX_CELLS numbers at most: past
+256 languages, cells are halved. It is broadcast, and texts are scored whole in numpy batches. Priors are the shares of all
+training documents. The score is the posterior probability of the predicted language.
+
+`accepted_rows` rejects what no learned language fits: texts that are less likely in the best language than under even
+odds for all cells, log(1 / cells) an n-gram. Other scripts and noise fall below it; short or mixed texts don't.
 
 Cases: null text, or a text without any letter, gives `und` with score 0. Rows whose lang or text is null don't train.
-With no training row at all everything is `und`. Null doc_id: held_out is null and the row doesn't train. Repeated
+With no training row at all everything is `und`. Over MOST_LANGUAGES different labels are an error: they aren't languages. Null doc_id: held_out is null and the row doesn't train. Repeated
 rows are scored alike; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -24,7 +28,9 @@ from .common import by_batch
 DIMENSIONS = 1 << 16
 ORDERS = (1, 2, 3)
 TRAIN_PER_LANGUAGE = 4000
-MAX_LANGUAGES = 400
+#: numbers of the broadcast matrix at most (64 MB), and labels that it has room for with 256 cells
+MATRIX_CELLS, MOST_LANGUAGES = 1 << 24, 1 << 16
+SLICE = 256
 SMOOTHING = 0.5
 LETTER = regex.compile(r"\p{L}")
 CHARS_AT_ONCE = 1 << 18
@@ -71,52 +77,75 @@ class LanguageModel:
     def __init__(self, languages: list[str], weights: np.ndarray, prior: np.ndarray):
         self.languages, self.weights, self.prior = languages, weights, prior
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Posterior probabilities, (texts, languages)."""
-        total = np.tile(self.prior, (len(texts), 1))
+    def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods, (texts, languages), and numbers of n-grams of the texts."""
+        total, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for start, some in chunked(texts):
             at, owner = cells(some, len(self.weights))
+            size[start : start + len(some)] = np.bincount(owner, minlength=len(some))
             for k in range(len(self.languages)):
-                total[start : start + len(some), k] += np.bincount(owner, self.weights[at, k], len(some))
-        total -= total.max(axis=1, keepdims=True)
-        e = np.exp(total)
-        return e / e.sum(axis=1, keepdims=True)
+                total[start : start + len(some), k] = np.bincount(owner, self.weights[at, k], len(some))
+        return total, size
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Posterior probabilities, (texts, languages)."""
+        return posterior(self.likelihoods(texts)[0] + self.prior)
+
+    def judged(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Predicted languages, and whether they fit better than even odds for all cells."""
+        total, size = self.likelihoods(texts)
+        fits = total.max(axis=1) >= size * -np.log(len(self.weights))
+        return [self.languages[k] for k in posterior(total + self.prior).argmax(axis=1)], fits
+
+
+def posterior(total: np.ndarray) -> np.ndarray:
+    e = np.exp(total - total.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def train(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
     """Fit on the documents that aren't held out. per_language bounds the sample (expected size: a hash of doc_id
     against a threshold from exact counts)."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect())
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = [k for k, _ in counts]
     if not languages:
         return LanguageModel([], np.zeros((dimensions, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k, n in counts for x in (F.lit(k), F.lit(per_language / n))])
-    where = F.create_map(*[x for i, (k, _) in enumerate(counts) for x in (F.lit(k), F.lit(i))])
+    while dimensions * len(languages) > MATRIX_CELLS and dimensions > 256:
+        dimensions //= 2
+    known = docs.sparkSession.createDataFrame([(k, i, per_language / n) for i, (k, n) in enumerate(counts)], "lang string, k int, share double")
     draw = (F.xxhash64("doc_id", F.lit("sample")) / F.lit(2.0**64)) + 0.5
-    sample = rows.where(draw < share[F.col("lang")]).select("text", where[F.col("lang")].alias("k"))
+    sample = rows.join(F.broadcast(known), "lang").where(draw < F.col("share")).select("text", "k")
 
     def make():
         def work(batch: pa.RecordBatch):
-            texts, k = batch["text"].to_pylist(), np.array(batch["k"].to_pylist(), np.int64)
-            table = np.zeros(len(languages) * dimensions, np.int64)
+            texts, label = batch["text"].to_pylist(), np.array(batch["k"].to_pylist(), np.int64)
             for start, some in chunked(texts):
+                names, k = np.unique(label[start : start + len(some)], return_inverse=True)
                 at, owner = cells(some, dimensions)
-                table += np.bincount(k[start + owner] * dimensions + at, minlength=len(table))
-            used = np.flatnonzero(table)
-            yield {"cell": used, "n": table[used]}
+                table = np.bincount(k[owner] * dimensions + at, minlength=len(names) * dimensions)
+                used = np.flatnonzero(table)
+                yield {"k": names[used // dimensions].astype(np.int32), "cell": used % dimensions, "n": table[used]}
 
         return work
 
-    found = by_batch(sample, "cell long, n long", make, rows=4000).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full(len(languages) * dimensions, SMOOTHING)
-    table[found["cell"].to_numpy()] += found["n"].to_numpy()
-    table = table.reshape(len(languages), dimensions)
-    weights = np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    def sliced(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(SLICE, np.float32)
+        own[part["cell"].to_numpy() % SLICE] = part["n"].to_numpy()
+        return pd.DataFrame({"k": part["k"].iloc[:1], "slice": part["slice"].iloc[:1], "counts": [own.astype("<f4").tobytes()]})
+
+    found = by_batch(sample, "k int, cell long, n long", make).groupBy("k", "cell").agg(F.sum("n").alias("n")).withColumn("slice", F.expr(f"int(cell div {SLICE})"))
+    table = np.zeros((len(languages), -(-dimensions // SLICE), SLICE), np.float32)
+    for r in found.groupBy("k", "slice").applyInPandas(sliced, "k int, slice int, counts binary").collect():
+        table[r["k"], r["slice"]] = np.frombuffer(r["counts"], "<f4")
+    weights = np.empty((dimensions, len(languages)), np.float32)
+    for k, counts_of in enumerate(table):
+        own = counts_of.reshape(-1)[:dimensions] + SMOOTHING
+        weights[:, k] = np.log(own / own.sum(dtype=float))
     prior = np.log(np.array([n for _, n in counts]) / sum(n for _, n in counts))
-    return LanguageModel(languages, np.ascontiguousarray(weights), prior)
+    return LanguageModel(languages, weights, prior)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -145,19 +174,27 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def accepted_rows(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a letter and whose language scores `least` or more. By default
-    only texts of no language (`und`) go: short clean texts may score low."""
+def accepted_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a letter and fits a learned language; a null lang becomes the
+    predicted one. Without any learned language only texts without a letter go."""
     model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
+    names = docs.columns
 
-    def run(batches):
+    def make():
         own = LanguageModel(*shared.value)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            good = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
-            if own.languages and good.any():
-                good[good] = own.scores([t for t, g in zip(texts, good, strict=True) if g]).max(axis=1) >= least
-            yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+        def work(batch: pa.RecordBatch):
+            texts, lang = batch["text"].to_pylist(), batch["lang"].to_pylist()
+            good = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+            if own.languages and good:
+                found, fits = own.judged([texts[i] for i in good])
+                for i, k in zip(good, found, strict=True):
+                    lang[i] = k if lang[i] is None else lang[i]
+                good = [i for i, f in zip(good, fits, strict=True) if f]
+            columns = dict(zip(names, batch.columns, strict=True)) | {"lang": pa.array(lang, batch["lang"].type)}
+            yield {k: c.take(pa.array(good, pa.int32())) for k, c in columns.items()}
+
+        return work
+
+    return by_batch(docs, docs.schema, make)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grammar import factor_starts
 from .kernels import block_starts, bwt_of, code_points, lms_positions, per_text, run_count, s_types, sl_factor_starts, suffix_array
 
 
@@ -102,3 +103,13 @@ def index_params(texts: DataFrame, lam: int) -> DataFrame:
         return {"n": [len(ids) + 1], "r": [run_count(bwt_of(ids, suffix_array(ids)))], "sigma": [len(number) + 1]}
 
     return per_text(texts, "doc_id long, n long, r long, sigma long", kernel)
+
+
+def pattern_factors(patterns: DataFrame) -> DataFrame:
+    """pattern_id, last_s, start: where factors start inside each pattern, for both types of the run that ends it."""
+
+    def kernel(pattern: str) -> dict:
+        found = [(last_s, start) for last_s in (False, True) for start in factor_starts(code_points(pattern), last_s)]
+        return {"last_s": [s for s, _ in found], "start": [k for _, k in found]}
+
+    return per_text(patterns, "pattern_id long, last_s boolean, start long", kernel, key="pattern_id", text="pattern")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import bwt_of, chars, code_points, lcp_intervals, lcp_of, per_text, run_count, suffix_array
+from .wavelet import Wavelet
 
 
 def suffix_table(texts: DataFrame) -> DataFrame:
@@ -62,6 +63,41 @@ def suffix_tree(texts: DataFrame) -> DataFrame:
     return per_text(texts, "doc_id long, node long, depth long, lo long, hi long, parent long", kernel)
 
 
+def suffix_links(texts: DataFrame) -> DataFrame:
+    """doc_id, lo, hi, link_lo, link_hi: rows of each inner node but the root, and of the node of its string without the
+    first character. One leaf, moved on by a position, is in that node, whose depth is one less."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        order = suffix_array(cp)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        depth, lo, hi, _ = (np.array(x) for x in zip(*lcp_intervals(lcp_of(cp, order)), strict=True))
+        by = np.lexsort((lo, depth))
+        key = depth[by] * len(order) + lo[by]
+        some = np.flatnonzero(depth > 0)
+        row = rank[order[lo[some]] + 1]
+        to = by[np.searchsorted(key, (depth[some] - 1) * len(order) + row, side="right") - 1]
+        return {"lo": lo[some], "hi": hi[some], "link_lo": lo[to], "link_hi": hi[to]}
+
+    return per_text(texts, "doc_id long, lo long, hi long, link_lo long, link_hi long", kernel)
+
+
+def leaf_parents(texts: DataFrame) -> DataFrame:
+    """doc_id, row, parent_depth, place: the deepest inner node around each leaf, and how many leaves of it come before."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        nodes = lcp_intervals(lcp_of(cp, suffix_array(cp)))
+        parent = np.zeros(len(cp) + 1, np.int64)
+        for i in sorted(range(len(nodes)), key=lambda i: nodes[i][0]):  # deeper ones later
+            parent[nodes[i][1] : nodes[i][2] + 1] = i
+        depth, lo, _, _ = (np.array(x) for x in zip(*nodes, strict=True))
+        return {"row": range(len(parent)), "parent_depth": depth[parent], "place": np.arange(len(parent)) - lo[parent]}
+
+    return per_text(texts, "doc_id long, row long, parent_depth long, place long", kernel)
+
+
 def lowest_common_ancestors(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (doc_id, a, b: rows) with depth: the length of the longest common prefix of the two suffixes."""
     holds = (F.col("lo") <= F.least("a", "b")) & (F.col("hi") >= F.greatest("a", "b"))
@@ -95,35 +131,106 @@ def bwt_runs(table: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "run_id").agg(F.min("row").alias("start"), F.count("*").alias("len"), F.first("ch").alias("ch"))
 
 
-def lf_mapping(table: DataFrame) -> DataFrame:
-    """doc_id, row, lf: rows with smaller symbols, and the rank of the symbol in rows before."""
-    smaller = table.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
-    smaller = smaller.select("doc_id", "ch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("c"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "ch").orderBy("row")) - 1
-    return table.withColumn("rank", rank).join(smaller, ["doc_id", "ch"]).select("doc_id", "row", (F.col("c") + F.col("rank")).cast("long").alias("lf"))
+def lf_of(bwt: np.ndarray) -> np.ndarray:
+    """The row of each suffix made longer by the symbol before it: a stable sort of the BWT, turned round."""
+    out = np.empty(len(bwt), np.int64)
+    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    return out
+
 
+def lf_mapping(texts: DataFrame) -> DataFrame:
+    """doc_id, row, lf."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        lf = lf_of(bwt_of(cp, suffix_array(cp)))
+        return {"row": range(len(lf)), "lf": lf}
 
-def psi_mapping(table: DataFrame) -> DataFrame:
+    return per_text(texts, "doc_id long, row long, lf long", kernel)
+
+
+def psi_mapping(texts: DataFrame) -> DataFrame:
     """The inverse of lf_mapping: doc_id, row, psi."""
-    return lf_mapping(table).select("doc_id", F.col("lf").alias("row"), F.col("row").alias("psi"))
 
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        psi = np.argsort(bwt_of(cp, suffix_array(cp)), kind="stable")
+        return {"row": range(len(psi)), "psi": psi}
+
+    return per_text(texts, "doc_id long, row long, psi long", kernel)
 
-def inverse_bwt(table: DataFrame) -> DataFrame:
-    """doc_id, text read back from row and ch alone, by following LF from the row of the whole text."""
-    rows = table.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.when(F.col("ch") == "", "\x00").otherwise(F.col("ch")).alias("ch")))), lambda x: x["ch"]), "").alias("bwt"))
+
+def bwt_texts(texts: DataFrame) -> DataFrame:
+    """doc_id, bwt as one string for each text, NUL for the end mark."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        return {"bwt": ["".join(chr(max(c, 0)) for c in bwt_of(cp, suffix_array(cp)).tolist())]}
+
+    return per_text(texts, "doc_id long, bwt string", kernel)
+
+
+def inverse_bwt(bwts: DataFrame) -> DataFrame:
+    """doc_id, text read back from doc_id, bwt (see bwt_texts) alone: positions are ranks of jumps, found by doubling."""
 
     def kernel(bwt: str) -> dict:
         symbols = np.where(code_points(bwt) == 0, -1, code_points(bwt).astype(np.int64))
-        lf = np.empty(len(symbols), np.int64)
-        lf[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
-        out, row = [], 0
-        for _ in range(len(symbols) - 1):
-            out.append(bwt[row])
-            row = lf[row]
-        return {"text": ["".join(reversed(out))]}
-
-    return per_text(rows, "doc_id long, text string", kernel, text="bwt")
+        n = len(symbols) - 1
+        lf, at, filled = lf_of(symbols), np.zeros(n + 1, np.int64), 1
+        while filled <= n:  # at[k]: the row after k steps from row 0
+            more = min(filled, n + 1 - filled)
+            at[filled : filled + more] = lf[at[:more]]
+            lf, filled = lf[lf], 2 * filled
+        back = symbols[at[:n]][::-1]
+        return {"text": [back.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")]}
+
+    return per_text(bwts, "doc_id long, text string", kernel, text="bwt")
+
+
+def inverse_select(texts: DataFrame, every: int, first: int) -> DataFrame:
+    """doc_id, row, ch, rank: of the rows first, first + every, ... of the BWT the symbol and how many rows before have it."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        bwt = bwt_of(cp, suffix_array(cp))
+        alphabet, value = np.unique(bwt, return_inverse=True)
+        rows = np.arange(first, len(bwt), every)
+        found, rank = Wavelet(value, len(alphabet)).inverse_select(rows)
+        return {"row": rows, "ch": chars(alphabet[found]), "rank": rank}
+
+    return per_text(texts, "doc_id long, row long, ch string, rank long", kernel)
+
+
+def backward_search(texts: DataFrame, patterns: list[str]) -> DataFrame:
+    """doc_id, pattern, lo, hi: the same rows as lex_intervals, found from the BWT alone, last character first; all
+    patterns of a text step together."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        bwt = bwt_of(cp, suffix_array(cp))
+        alphabet, first = np.unique(np.sort(bwt), return_index=True)
+        order = np.argsort(bwt, kind="stable")
+        keys = np.searchsorted(alphabet, bwt[order]) * len(bwt) + order
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(bwt))
+        raw = [code_points(p).astype(np.int64) for p in patterns]
+        for k in range(1, max(map(len, raw), default=0) + 1):
+            some = np.flatnonzero((np.array(list(map(len, raw))) >= k) & (low < high))
+            symbol = np.array([raw[i][-k] for i in some], np.int64)
+            at = np.minimum(np.searchsorted(alphabet, symbol), len(alphabet) - 1)
+            step = lambda rows: np.searchsorted(keys, at * len(bwt) + rows)  # noqa: B023, E731
+            known = alphabet[at] == symbol
+            low[some], high[some] = np.where(known, step(low[some]), 0), np.where(known, step(high[some]), 0)
+        hit = np.flatnonzero(low < high)
+        return {"pattern": [patterns[i] for i in hit], "lo": low[hit], "hi": high[hit] - 1}
+
+    return per_text(texts, "doc_id long, pattern string, lo long, hi long", kernel)
+
+
+def csa_counts(texts: DataFrame, patterns: list[str]) -> DataFrame:
+    """pattern, occ over all texts by backward search in each; patterns without one have 0."""
+    found = backward_search(texts, patterns).groupBy("pattern").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("occ"))
+    wanted = texts.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    return wanted.join(found, "pattern", "left").select("pattern", F.coalesce("occ", F.lit(0)).alias("occ"))
 
 
 def rank(table: DataFrame, queries: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from ..functions import coders
 from ..functions.text import size_text, time_text
 from ..operators import alphabet, collections, count, factorize, locate, patterns, ranges, stats, suffix
 from ..operators.kernels import code_points, lz77, per_text
-from ..sources.texts import benchmark, conversations, documents
-from ..streaming.counts import drained, running_counts, text_stream
+from ..sources.texts import benchmark, conversations, documents, quarantined
+from ..streaming.counts import drained, running_counts, text_stream, windowed_counts
 from . import oracle
 from .text_index import TextIndex
 
@@ -78,7 +78,54 @@ def gram_counts_4(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracle.index_count(PATTERNS))
 def index_count(spark: SparkSession, sf: str) -> DataFrame:
     wanted = spark.createDataFrame(list(enumerate(PATTERNS)), "pattern_id long, pattern string")
-    return TextIndex.build(conversations(spark, sf), 4).count(wanted)
+    return TextIndex.build(documents(spark, sf), 4).count(wanted)
+
+
+LONGER = ("the", "an ", "of the", "e", "zz☃", "on the", "que ", " in the ")
+
+
+@query(oracle.index_count(LONGER, oracle.MERGED))
+def index_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two indexes merged into one, and patterns of several lengths counted in it."""
+    more = benchmark(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    index = TextIndex.build(conversations(spark, sf), 7).merged(TextIndex.build(more, 7))
+    return index.count(spark.createDataFrame(list(enumerate(LONGER)), "pattern_id long, pattern string"))
+
+
+@query(oracle.COUNT_BATCH_FIXED)
+def index_count_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A pattern of each document, in the index of all."""
+    texts = documents(spark, sf)
+    return TextIndex.build(texts, 7).count(patterns.sample(texts, 12))
+
+
+@query(oracle.PATTERN_FACTORS)
+def pattern_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Where factors start inside patterns, under both types of the run that ends them."""
+    return factorize.pattern_factors(patterns.sample(documents(spark, sf), 12))
+
+
+@query(oracle.LAMBDAS)
+def lambda_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [factorize.factors(benchmark(spark, sf), k).select(F.lit(k).cast("long").alias("lambda"), "factor", "len") for k in range(1, 9)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("lambda").agg(F.count("*").alias("blocks"), F.count_distinct("factor").alias("factors"), F.sum("len").alias("chars"))
+
+
+@query(oracle.count_patterns(LONGER, oracle.CONVERSATIONS))
+def csa_count(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.csa_counts(conversations(spark, sf), list(LONGER))
+
+
+@query(oracle.interval_sizes(("the", "an", "zz")))
+def interval_size(spark: SparkSession, sf: str) -> DataFrame:
+    texts = conversations(spark, sf)
+    found = suffix.backward_search(texts, ["the", "an", "zz"])
+    wanted = texts.select("doc_id", F.explode(F.array(F.lit("the"), F.lit("an"), F.lit("zz"))).alias("pattern"))
+    size = F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0))
+    return wanted.join(found, ["doc_id", "pattern"], "left").select("doc_id", "pattern", size.alias("size"), (size == 0).alias("is_empty"))
 
 
 @query(oracle.decomposition(SHORT, 7))
@@ -106,7 +153,7 @@ def diff_check(spark: SparkSession, sf: str) -> DataFrame:
     one = count.broadcast_batch(texts, wanted)
     grams = count.gram_counts(texts, 6)
     other = wanted.join(grams, wanted["pattern"] == grams["gram"], "left").select("pattern_id", F.coalesce("cnt", F.lit(0)).alias("other"))
-    return one.join(other, "pattern_id", "full").agg(F.count_if(~F.col("occ").eqNullSafe(F.col("other"))).alias("mismatches"), F.count("*").alias("total"))
+    return one.join(other, "pattern_id", "full").agg(F.count_if(~F.col("occ").eqNullSafe(F.col("other"))).alias("mismatches"), F.count("*").alias("total"), F.sum("occ").alias("one"), F.sum("other").alias("other"))
 
 
 @query(oracle.count_patterns(PATTERNS))
@@ -115,6 +162,22 @@ def streaming_counts(spark: SparkSession, sf: str) -> DataFrame:
     return drained(running_counts(stream, list(PATTERNS)), "streaming_counts")
 
 
+@query(oracle.STREAM_WINDOWS)
+def streaming_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts in event-time windows of a day, from a stream of events."""
+    events = text_stream(spark, sf, "events.parquet", schema="ts timestamp, props string")
+    table = drained(windowed_counts(events, "ts", "props", ["1", "7"], "1 day", "1 day"), "streaming_windows", "complete")
+    return table.select(F.col("window.start").alias("start"), "pattern", "occ")
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 10 <> 0) AS good, count(*) FILTER (WHERE doc_id % 10 = 0) AS held FROM documents")
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with a NUL (put into every tenth here) are held back."""
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\x00"))).otherwise(F.col("text"))
+    good, held = quarantined(documents(spark, sf).withColumn("text", text))
+    return good.agg(F.count("*").alias("good")).crossJoin(held.agg(F.count("*").alias("held")))
+
+
 # --- locating -------------------------------------------------------------------------------------------------------
 
 
@@ -196,7 +259,7 @@ def sl_factors(spark: SparkSession, sf: str) -> DataFrame:
     return factorize.sl_factors(conversations(spark, sf))
 
 
-for _lam in (1, 4, 7, 8):
+for _lam in range(1, 9):
     query(oracle.factors(_lam), f"factors_lambda{_lam}")(lambda spark, sf, lam=_lam: factorize.factors(conversations(spark, sf), lam))
 
 
@@ -256,7 +319,7 @@ def bwt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")
 def inverse_bwt(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.inverse_bwt(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+    return suffix.inverse_bwt(suffix.bwt_texts(conversations(spark, sf)))
 
 
 @query(oracle.BWT_RUNS_R)
@@ -287,12 +350,23 @@ def select_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.LF)
 def lf_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.lf_mapping(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+    return suffix.lf_mapping(conversations(spark, sf))
 
 
 @query(oracle.PSI)
 def psi_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.psi_mapping(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"))
+    return suffix.psi_mapping(conversations(spark, sf))
+
+
+@query(oracle.INVERSE_SELECT)
+def wt_inverse_select(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbol at every fifth row of the BWT and its rank there, from a wavelet matrix for each text."""
+    return suffix.inverse_select(conversations(spark, sf), 5, 3)
+
+
+@query(oracle.lex_intervals(("the", "an", "que")))
+def backward_search(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.backward_search(conversations(spark, sf), ["the", "an", "que"])
 
 
 @query(oracle.lex_intervals(("the", "an", "que")))
@@ -333,6 +407,25 @@ def suffix_tree_children(spark: SparkSession, sf: str) -> DataFrame:
     return tree.join(up, ["doc_id", "node"]).select("doc_id", "lo", "hi", "children")
 
 
+@query(oracle.TREE_LINKS)
+def suffix_tree_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The suffix link of each inner node: the node of its string without the first character."""
+    return suffix.suffix_links(benchmark(spark, sf))
+
+
+@query(oracle.TREE_PARENTS)
+def suffix_tree_parents(spark: SparkSession, sf: str) -> DataFrame:
+    tree = suffix.suffix_tree(benchmark(spark, sf))
+    up = tree.select("doc_id", F.col("node").alias("parent"), F.col("depth").alias("parent_depth"))
+    return tree.where("node <> parent").join(up, ["doc_id", "parent"]).select("doc_id", "lo", "hi", "parent_depth", (F.col("hi") - F.col("lo") + 1).alias("leaves"))
+
+
+@query(oracle.TREE_LEAVES)
+def suffix_tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The parent of each leaf, and the leaf's place among the leaves below it."""
+    return suffix.leaf_parents(benchmark(spark, sf))
+
+
 @query(oracle.LCA)
 def suffix_tree_lca(spark: SparkSession, sf: str) -> DataFrame:
     texts = benchmark(spark, sf)
@@ -395,6 +488,31 @@ def wt_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.intersect(rows.where("turn = 0"), rows.where("turn = 1"), ["conv_id", "ch"])
 
 
+@query(oracle.UNIQUE_RANGE)
+def wt_unique_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct symbols of a range of rows that are in a range of symbols."""
+    rows = middle(spark, sf).where((F.col("ch") >= "d") & (F.col("ch") < "p"))
+    return ranges.interval_symbols(rows, "doc_id", "ch").select("doc_id", "ch")
+
+
+@query("SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS weight, count(*) AS n FROM lineitem WHERE l_partkey BETWEEN 10 AND 1500 AND l_suppkey BETWEEN 5 AND 80 GROUP BY 1")
+def weighted_range_count(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where(F.col("l_partkey").between(10, 1500) & F.col("l_suppkey").between(5, 80))
+    return rows.groupBy("l_returnflag").agg(F.sum("l_quantity").cast("long").alias("weight"), F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 10 AND 1500 AND l_suppkey BETWEEN 5 AND 80 AND l_linenumber BETWEEN 2 AND 4")
+def range_search_3d(spark: SparkSession, sf: str) -> DataFrame:
+    box = F.col("l_partkey").between(10, 1500) & F.col("l_suppkey").between(5, 80) & F.col("l_linenumber").between(2, 4)
+    return spark.read.parquet(f"{sf}/lineitem.parquet").where(box).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query('SELECT l_suppkey AS node, count(*) AS degree, min(l_partkey) AS "first", max(l_partkey) AS "last" FROM lineitem GROUP BY 1')
+def graph_reverse_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """Along edges part-supplier, from the supplier's side."""
+    return ranges.neighbours(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_suppkey", "l_partkey")
+
+
 @query(oracle.PRED_SUCC)
 def symbol_pred_succ(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.pred_succ(alphabet.text_symbols(documents(spark, sf)), "doc_id", "ch", ["B", "h", "~"])

@@ -36,9 +36,9 @@ def count_patterns(patterns: tuple[str, ...], texts: str = DOCUMENTS) -> str:
     return windows(max(map(len, patterns)), texts) + rows
 
 
-def index_count(patterns: tuple[str, ...]) -> str:
+def index_count(patterns: tuple[str, ...], texts: str = DOCUMENTS) -> str:
     rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS pattern_id, count(*) FILTER (WHERE {hit(p)}) AS occ FROM g" for i, p in enumerate(patterns))
-    return windows(max(map(len, patterns)), CONVERSATIONS) + rows
+    return windows(max(map(len, patterns)), texts) + rows
 
 
 def count_per_doc(pattern: str) -> str:
@@ -74,7 +74,8 @@ pat(pattern_id, pattern) AS (VALUES (CAST(1 AS BIGINT), 'a☃'), (2, 'the'), (3,
 own AS (SELECT pattern_id, unnest(string_split(pattern, '')) AS c FROM pat)
 SELECT pattern_id, pattern, CAST(0 AS BIGINT) AS occ FROM pat WHERE pattern_id IN (SELECT pattern_id FROM own WHERE c NOT IN (SELECT c FROM alphabet))"""
 GRAMS_4 = grams(4) + "SELECT gram, count(*) AS cnt FROM g GROUP BY 1"
-DIFF_CHECK = "SELECT CAST(0 AS BIGINT) AS mismatches, count(*) AS total FROM conversations WHERE length(text) >= 6"
+DIFF_CHECK = grams(6, CONVERSATIONS) + f""", pat AS (SELECT doc_id AS pattern_id, substr(text, {DRAW.format(i="doc_id", n="length(text) - 5")} + 1, 6) AS pattern FROM t WHERE length(text) >= 6),
+c AS (SELECT gram, count(*) AS n FROM g GROUP BY 1) SELECT count(*) FILTER (WHERE n IS NULL) AS mismatches, count(*) AS total, CAST(sum(n) AS BIGINT) AS one, CAST(sum(n) AS BIGINT) AS other FROM pat LEFT JOIN c ON pattern = gram"""
 
 
 def locate(pattern: str, most: int | None = None) -> str:
@@ -92,7 +93,7 @@ def doc_counts(patterns: tuple[str, ...]) -> str:
 
 LISTING_RUNS = "SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS island FROM documents WHERE contains(text, 'the')) GROUP BY island"
 CONTAINMENT = """SELECT doc_id, item_id, CAST((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS BIGINT) AS occ
-FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 24"""
+FROM documents d JOIN benchmark b ON contains(d.text, b.text)"""
 
 ALPHABET = "alphabet AS (SELECT c, row_number() OVER (ORDER BY c) AS symbol FROM (SELECT DISTINCT c FROM ch))"
 SYMBOL_TABLE = f"WITH {DOCUMENTS}, {CH}, {ALPHABET} SELECT c AS ch, symbol FROM alphabet"
@@ -127,6 +128,9 @@ def factors(lam: int) -> str:
     return blocks(lam, CONVERSATIONS) + " SELECT doc_id, ord, start, len, factor FROM f"
 
 
+LAMBDAS = " UNION ALL ".join(f"SELECT * FROM ({blocks(k, BENCHMARK)} SELECT CAST({k} AS BIGINT) AS lambda, count(*) AS blocks, count(DISTINCT factor) AS factors, CAST(sum(len) AS BIGINT) AS chars FROM f)" for k in range(1, 9))
+
+
 DICTIONARY = "d0 AS (SELECT factor, count(*) AS freq FROM f GROUP BY 1), d AS (SELECT factor, freq, row_number() OVER (ORDER BY factor) AS lex_id, CAST(sum(freq) OVER (ORDER BY factor) - freq AS BIGINT) AS bucket_start FROM d0)"
 LEX_DICTIONARY = blocks(4, DOCUMENTS) + f", {DICTIONARY} SELECT factor, lex_id, freq, bucket_start FROM d"
 COLEX_DICTIONARY = blocks(4, DOCUMENTS) + f", {DICTIONARY} SELECT reverse(factor) AS rev, row_number() OVER (ORDER BY reverse(factor)) AS colex_id, lex_id FROM d"
@@ -175,8 +179,11 @@ BWT_RUNS = SUFFIXES + HEADS + " SELECT doc_id, run_id, min(row) AS start, count(
 ASKED = "q AS (SELECT doc_id, (length(text) + 1) // 2 AS at, CAST(3 AS BIGINT) AS k, unnest(['e', 't', 'a']) AS ch FROM t)"
 RANK = SUFFIXES + f", {ASKED} SELECT q.doc_id, q.at, q.ch, count(*) FILTER (WHERE x.row < q.at) AS rank FROM q LEFT JOIN x ON x.doc_id = q.doc_id AND x.ch = q.ch GROUP BY 1, 2, 3"
 SELECT = SUFFIXES + f", {ASKED}, y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch ORDER BY row) AS k FROM x) SELECT doc_id, ch, k, row FROM q JOIN y USING (doc_id, ch, k)"
-LF = SUFFIXES + " SELECT a.doc_id, a.row, b.row AS lf FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.pos = (a.pos + a.n - 1) % a.n"
-PSI = SUFFIXES + " SELECT a.doc_id, a.row, b.row AS psi FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.pos = (a.pos + 1) % a.n"
+# the row of the whole text follows the empty suffix, whose row is 0
+LF = SUFFIXES + " SELECT doc_id, row, coalesce(lag(row) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS lf FROM x"
+PSI = SUFFIXES + " SELECT doc_id, row, coalesce(lead(row) OVER w, min(CASE WHEN pos = 0 THEN row END) OVER (PARTITION BY doc_id)) AS psi FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+PLACES = SUFFIXES + ", y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch ORDER BY row) - 1 AS rank FROM x)"
+INVERSE_SELECT = PLACES + " SELECT doc_id, row, ch, rank FROM y WHERE row % 5 = 3"
 
 
 def lex_intervals(patterns: tuple[str, ...]) -> str:
@@ -198,6 +205,11 @@ TREE_DEGREES = TREE + """, up AS (SELECT a.doc_id, a.lo AS clo, a.hi AS chi, max
 SELECT b.doc_id, b.lo, b.hi, count(*) AS children FROM up JOIN inner_nodes b ON b.doc_id = up.doc_id AND b.depth = up.d AND b.lo <= clo AND b.hi >= chi GROUP BY 1, 2, 3"""
 LCA = LCP_ROWS + """, pairs AS (SELECT doc_id, CAST(5 AS BIGINT) AS a, unnest(range(6, 41)) AS b FROM t)
 SELECT doc_id, a, b, min(lcp) AS depth FROM pairs JOIN l USING (doc_id) WHERE row > a AND row <= b GROUP BY 1, 2, 3"""
+NAMED_NODES = TREE + ", i AS (SELECT doc_id, depth, lo, hi, prefix FROM inner_nodes JOIN nodes USING (doc_id, lo, hi) WHERE k = depth)"
+TREE_LINKS = NAMED_NODES + " SELECT a.doc_id, a.lo, a.hi, b.lo AS link_lo, b.hi AS link_hi FROM i a JOIN i b ON a.doc_id = b.doc_id AND b.prefix = substr(a.prefix, 2) WHERE a.depth > 0"
+TREE_PARENTS = TREE + " SELECT a.doc_id, a.lo, a.hi, max(b.depth) AS parent_depth, a.hi - a.lo + 1 AS leaves FROM inner_nodes a JOIN inner_nodes b ON a.doc_id = b.doc_id AND b.lo <= a.lo AND b.hi >= a.hi AND (b.lo < a.lo OR b.hi > a.hi) GROUP BY 1, 2, 3"
+TREE_LEAVES = TREE + """, up AS (SELECT l.doc_id, l.row, max(depth) AS depth FROM l JOIN inner_nodes i ON i.doc_id = l.doc_id AND l.row BETWEEN lo AND hi GROUP BY 1, 2)
+SELECT doc_id, row, depth AS parent_depth, row - min(row) OVER (PARTITION BY doc_id, lo) AS place FROM up JOIN inner_nodes i USING (doc_id, depth) WHERE row BETWEEN lo AND hi"""
 NEAREST = """SELECT c_custkey AS q, (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey <= c_custkey) AS pred,
 (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey >= c_custkey) AS succ FROM customer"""
 OFFSETS = "SELECT doc_id, CAST(sum(length(text) + 1) OVER (ORDER BY doc_id) - length(text) - 1 AS BIGINT) AS start, length(text) + 1 AS size FROM documents"
@@ -234,3 +246,26 @@ ENTROPY = windows(3) + " " + " UNION ALL ".join(
     f"SELECT CAST({k} AS BIGINT) AS k, round(sum(cnt * log2(n / cnt)) / sum(cnt), 6) AS entropy FROM (SELECT *, sum(cnt) OVER (PARTITION BY context) AS n FROM (SELECT {context} AS context, c{k} AS c, CAST(count(*) AS DOUBLE) AS cnt FROM g WHERE c{k} IS NOT NULL GROUP BY 1, 2))"
     for k, context in enumerate(("''", "c0", "c0 || c1"))
 )
+
+
+def pattern_factors(last_s: bool) -> str:
+    """Factor starts inside patterns whose last run is of type S (as before a larger character) or not (as at the end)."""
+    more = "|| chr(1114111)" if last_s else ""
+    pat = f"t AS (SELECT pattern_id AS doc_id, pattern {more} AS text, length(pattern) AS n FROM ({SAMPLE}))"
+    return typed(pat) + f" SELECT lm.doc_id AS pattern_id, {str(last_s).lower()} AS last_s, p AS start FROM lm JOIN t USING (doc_id) WHERE lms AND p < n"
+
+
+PATTERN_FACTORS = f"SELECT * FROM ({pattern_factors(False)}) UNION ALL SELECT * FROM ({pattern_factors(True)})"
+
+
+def interval_sizes(patterns: tuple[str, ...]) -> str:
+    """Occurrences in each text, and whether there are none."""
+    n = max(map(len, patterns))
+    rows = " UNION ALL ".join(f"SELECT t.doc_id, {quote(p)} AS pattern, count(g.p) AS size, count(g.p) = 0 AS is_empty FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND {hit(p)} GROUP BY 1" for p in patterns)
+    return windows(n, CONVERSATIONS) + rows
+
+
+UNIQUE_RANGE = MIDDLE + " SELECT DISTINCT doc_id, ch FROM m WHERE ch >= 'd' AND ch < 'p'"
+MERGED = """tt AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations UNION ALL SELECT -item_id - 1, text FROM benchmark), t AS (SELECT * FROM tt)"""
+STREAM_WINDOWS = """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, q AS pattern, CAST(sum(length(props) - length(replace(props, q, ''))) AS BIGINT) AS occ
+FROM events, (VALUES ('1'), ('7')) v(q) GROUP BY 1, 2"""

@@ -1,33 +1,64 @@
-"""TextIndex: build once, save as Parquet tables, load, count.
-
-The index of a set of texts is its factor blocks and their dictionaries: block text, factor, lex and colex order, and
-counts of strings inside blocks. Counting needs no text. A pattern is aligned with blocks: its part before the first block
-border that it crosses (a suffix of a block), whole blocks, and what is left (a prefix of the next block). For each
-possible first border, k = 1 .. block size, the whole blocks follow from local consistency only inside factors, so the
-index keeps block sequences joined by position and steps along them: ranges of the dictionaries for the two ends,
-exact steps between them.
+"""TextIndex: build once, save as Parquet tables, load, count by backward search.
+
+The index is a table of shards, each of about SHARD_CHARS characters of whole texts: the dictionary of their factor
+blocks in order, the order of the reversed blocks, and the runs of the Burrows-Wheeler transform of the block text. Building
+is one scan, counting is one scan of the shards with the patterns broadcast, and only counts by pattern move. Counting
+needs no text. A batch over PATTERNS_AT_ONCE is searched part by part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import factorize
+from ..operators.grammar import Shard, border_sets, pieces
 from ..sources.texts import validated
 
-FORMAT = 1
-TABLES = ("blocks", "dictionary", "inner", "alphabet")
+FORMAT = 2
+TABLES = {
+    "shards": "shard long, factors array<string>, symbols binary, lengths binary, colex binary",
+    "documents": "doc_id long, n long, r long, sigma long",
+    "alphabet": "ch string, symbol long",
+}
+SHARD_CHARS = 1 << 20
+PATTERNS_AT_ONCE = 100_000
+
+
+def sharded(texts: DataFrame, lam: int) -> DataFrame:
+    """The shards of texts, made where the texts are; a long text is a shard of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, made = [], 0, 0
+        task = TaskContext.get().partitionId() << 32
 
+        def shard() -> pa.RecordBatch:
+            own = Shard.build(held, lam)
+            cells = (task + made, own.factors, *[x.astype("<i4").tobytes() for x in (own.symbols, own.lengths, own.colex)])
+            kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([c], type=k) for c, k in zip(cells, kinds, strict=True)], names=["shard", "factors", "symbols", "lengths", "colex"])
 
-def kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage where there is a checkpoint folder, else cached (memory and disk)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+        for batch in batches:
+            for value in batch["text"]:
+                if text := value.as_py():
+                    if held and size + len(text) > SHARD_CHARS:
+                        yield shard()
+                        held, size, made = [], 0, made + 1
+                    held.append(text)
+                    size += len(text)
+        if held:
+            yield shard()
+
+    return texts.select("text").mapInArrow(run, TABLES["shards"])
 
 
 class TextIndex:
-    """Tables: blocks (doc_id, ord, lex_id), dictionary (factor, lex_id, freq, bucket_start), inner (sub, cnt),
-    alphabet (ch, symbol)."""
+    """Tables: shards, documents (doc_id and the parameters of its block text), alphabet (ch, symbol)."""
 
     def __init__(self, lam: int, tables: dict[str, DataFrame]):
         self.lam, self.tables = lam, tables
@@ -38,13 +69,10 @@ class TextIndex:
 
         factorize.checked(lam)
         texts = validated(texts)
-        blocks = factorize.factors(texts, lam)
-        dictionary = factorize.lex_dictionary(blocks)
-        own = blocks.join(dictionary.select("factor", "lex_id"), "factor").select("doc_id", "ord", "lex_id")
-        return cls(lam, {"blocks": own, "dictionary": dictionary, "inner": factorize.sub_factors(dictionary), "alphabet": symbol_table(texts)})
+        return cls(lam, {"shards": sharded(texts, lam), "documents": factorize.index_params(texts, lam), "alphabet": symbol_table(texts)})
 
     def save(self, path: str) -> None:
-        spark = self.tables["blocks"].sparkSession
+        spark = self.tables["shards"].sparkSession
         for name in TABLES:
             self.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
         spark.createDataFrame([(FORMAT, self.lam)], "format int, lam int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -54,59 +82,68 @@ class TextIndex:
         meta = spark.read.parquet(f"{path}/meta").first()
         if meta is None or meta["format"] != FORMAT:
             raise ValueError(f"no index of format {FORMAT} at {path}")
-        return cls(meta["lam"], {name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+        return cls(meta["lam"], {name: spark.read.schema(kinds).parquet(f"{path}/{name}") for name, kinds in TABLES.items()})
+
+    def merged(self, other: TextIndex) -> TextIndex:
+        """The index of the texts of both (their ids are the caller's to keep apart): shards stand side by side."""
+        if self.lam != other.lam:
+            raise ValueError("indexes of one block size can be merged")
+        from pyspark.sql.window import Window
+
+        both = {name: self.tables[name].unionByName(other.tables[name]) for name in ("shards", "documents")}
+        symbols = self.tables["alphabet"].unionByName(other.tables["alphabet"]).select("ch").distinct()
+        return TextIndex(self.lam, {**both, "alphabet": symbols.withColumn("symbol", F.row_number().over(Window.orderBy("ch")).cast("long"))})
 
     def parameters(self) -> DataFrame:
-        """doc_id, n (blocks and the end mark), sigma (distinct blocks and the end mark)."""
-        own = self.tables["blocks"].groupBy("doc_id")
-        return own.agg((F.count("*") + 1).alias("n"), (F.count_distinct("lex_id") + 1).alias("sigma"))
+        """doc_id, n (blocks and the end mark), r (runs of the blocks' BWT), sigma (distinct blocks and the end mark)."""
+        return self.tables["documents"]
 
     def space(self) -> DataFrame:
-        """component, bytes of the index's strings, and the total."""
-        from ..operators.stats import space_report
-
-        return space_report({name: self.tables[name] for name in TABLES})
+        """component, bytes (of strings and numbers) of each table's columns, and the total (component null)."""
+        parts = []
+        for name, table in self.tables.items():
+            for c, kind in table.dtypes:
+                size = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)) if kind.startswith("array") else F.octet_length(c).cast("long") if kind in ("string", "binary") else F.lit(8).cast("long")
+                parts.append(table.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).select(F.lit(f"{name}.{c}").alias("component"), "bytes"))
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        return rows.rollup("component").agg(F.sum("bytes").alias("bytes"))
 
     def describe(self, rows: int = 20) -> None:
         """Prints the first rows of every table."""
         for name in TABLES:
             print(f"{name} (lambda {self.lam})")
-            self.tables[name].show(rows, truncate=False)
+            self.tables[name].show(rows, truncate=80)
 
     def count(self, patterns: DataFrame) -> DataFrame:
-        """pattern_id, occ of patterns (pattern_id, pattern), empty ones refused. Patterns with an unknown symbol drop out
-        first, with 0."""
+        """pattern_id, occ of patterns (pattern_id, pattern); null or empty ones are refused."""
         bad = F.raise_error(F.lit("an empty pattern has no count")).cast("string")
-        patterns = patterns.withColumn("pattern", F.when(F.length("pattern") > 0, F.col("pattern")).otherwise(bad))
-        dictionary, inner, blocks = kept(self.tables["dictionary"]), self.tables["inner"], self.tables["blocks"]
-        symbols = patterns.select("pattern_id", F.explode(F.array_distinct(F.split("pattern", ""))).alias("ch")).where("ch <> ''")
-        unknown = symbols.join(self.tables["alphabet"], "ch", "left_anti").select("pattern_id").distinct()
-        known = patterns.join(unknown, "pattern_id", "left_anti")
-        # inside one block: at its start or end, or inside it; all by equal strings, as blocks are short
-        inside = known.where(F.length("pattern") <= self.lam)
-        n = F.length("factor")
-        starts = dictionary.select("freq", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.left("factor", k))).alias("pattern"))
-        tails = dictionary.where(n > 1).select("freq", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.right("factor", k))).alias("pattern"))
-        whole = starts.unionByName(tails).unionByName(inner.select(F.col("cnt").alias("freq"), F.col("sub").alias("pattern")))
-        parts = inside.join(whole.groupBy("pattern").agg(F.sum("freq").alias("freq")), "pattern").select("pattern_id", "freq")
-        # across blocks: the pattern's head ends a block; then block by block, the last one a prefix
-        sized = F.broadcast(dictionary.select("lex_id", "factor")) if dictionary.count() <= 1_000_000 else dictionary.select("lex_id", "factor")
-        named = kept(blocks.join(sized, "lex_id").select("doc_id", "ord", "factor"))
-        heads = known.where(F.length("pattern") > 1).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(1), F.least(F.length("pattern") - 1, F.lit(self.lam)))).alias("k"))
-        heads = heads.select("pattern_id", F.left("pattern", F.col("k")).alias("head"), F.substr("pattern", F.col("k") + 1).alias("rest"))
-        ends = dictionary.select("factor", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.right("factor", k))).alias("head"))
-        starts = heads.join(ends, "head").select("pattern_id", "factor", "rest")
-        states = named.join(starts, "factor").select("pattern_id", "doc_id", F.col("ord").alias("at"), "rest")
-        longest = known.agg(F.max(F.length("pattern"))).first()[0] or 0
-        for _ in range(longest - 1):
-            following = named.select("doc_id", (F.col("ord") - 1).alias("at"), F.col("factor").alias("next"))
-            states = states.join(following, ["doc_id", "at"]).where(F.startswith("next", "rest") | F.startswith("rest", "next"))
-            ended = F.length("rest") <= F.length("next")
-            done = states.where(ended).groupBy("pattern_id").agg(F.count("*").alias("freq"))
-            parts = parts.unionByName(done)
-            states = states.where(~ended).select("pattern_id", "doc_id", (F.col("at") + 1).alias("at"), F.substr("rest", F.length("next") + 1).alias("rest"))
-            states = kept(states)
-            if states.isEmpty():
-                break
-        total = parts.groupBy("pattern_id").agg(F.sum("freq").alias("occ"))
-        return patterns.join(total, "pattern_id", "left").select("pattern_id", F.coalesce("occ", F.lit(0)).cast("long").alias("occ"))
+        patterns = patterns.select("pattern_id", F.when(F.length("pattern") > 0, F.col("pattern")).otherwise(bad).alias("pattern"))
+        distinct = patterns.select("pattern").distinct()
+        parts = max(1, -(-distinct.count() // PATTERNS_AT_ONCE))
+        found = None
+        for part in range(parts):
+            own = sorted(r["pattern"] for r in distinct.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect())
+            counts = self._searched(own)
+            found = counts if found is None else found.unionByName(counts)
+        total = found.groupBy("gram").agg(F.sum("cnt").alias("cnt"))
+        return patterns.join(total, patterns["pattern"] == total["gram"], "left").select("pattern_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("occ"))
+
+    def _searched(self, patterns: list[str]) -> DataFrame:
+        """gram, cnt by shard."""
+        entries = [(i, pieces(p, b)) for i, p in enumerate(patterns) for b in border_sets(p, self.lam)]
+        short = [(i, p) for i, p in enumerate(patterns) if len(p) <= self.lam]
+        shared = self.tables["shards"].sparkSession.sparkContext.broadcast((patterns, entries, short))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, cut, inside = shared.value
+            total = np.zeros(len(own), np.int64)
+            for batch in batches:
+                for i in range(len(batch)):
+                    numbers = [np.frombuffer(batch[c][i].as_py(), "<i4").astype(np.int64) for c in ("symbols", "lengths", "colex")]
+                    total += Shard(batch["factors"][i].as_py(), *numbers).opened().count(cut, inside, len(own))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in some], pa.string()), pa.array(total[some], pa.int64())], names=["gram", "cnt"])
+
+        return self.tables["shards"].select("factors", "symbols", "lengths", "colex").mapInArrow(run, "gram string, cnt long")

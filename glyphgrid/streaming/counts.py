@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import overlap_count
 
 
-def text_stream(spark: SparkSession, path: str, name: str, per_trigger: int = 64) -> DataFrame:
-    """Texts of Parquet files called `name` (files, or folders of them) as they arrive."""
-    schema = "doc_id long, text string"
+def text_stream(spark: SparkSession, path: str, name: str, per_trigger: int = 64, schema: str = "doc_id long, text string") -> DataFrame:
+    """Rows (texts, if no other schema is given) of Parquet files called `name` (files, or folders of them) as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").parquet(f"{path}/{name}*")
 
 

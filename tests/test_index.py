@@ -5,7 +5,7 @@ import random
 import pytest
 
 from glyphgrid.functions.text import register
-from glyphgrid.operators import count, factorize, locate, suffix
+from glyphgrid.operators import count, factorize, grammar, locate, suffix
 from glyphgrid.plans.text_index import TextIndex
 from glyphgrid.sources import texts as sources
 
@@ -34,6 +34,44 @@ def case(spark):
 TOY_LONG = "acgttgcaacgttgcaac"
 
 
+def test_backward_search_over_blocks():
+    """Every block size, shards of several texts, periodic and random texts; patterns of 1 to 256 characters."""
+    rnd = random.Random(1)
+    for lam in range(1, 9):
+        for _ in range(40):
+            letters = rnd.choice(["a", "ab", "abc", "abcdefgh"])
+            texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(rnd.randint(1, 5))]
+            texts.append((texts[0][: rnd.randint(1, 10)] * 400)[:400])
+            patterns = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 10))) for _ in range(5)]
+            for size in (1, 2, 4, 8, 16, 32, 64, 128, 256):
+                t = rnd.choice([t for t in [*texts, "a"] if t])
+                patterns.append(t[rnd.randrange(len(t)) :][:size])
+            built = grammar.Shard.build(texts, lam)
+            shard = grammar.Shard(built.factors, built.symbols, built.lengths, built.colex).opened()
+            entries = [(i, grammar.pieces(p, b)) for i, p in enumerate(patterns) for b in grammar.border_sets(p, lam)]
+            short = [(i, p) for i, p in enumerate(patterns) if len(p) <= lam]
+            assert shard.count(entries, short, len(patterns)).tolist() == [sum(plain_count(t, p) for t in texts) for p in patterns]
+
+
+def test_index_in_parts(spark, case, monkeypatch):
+    from glyphgrid.plans import text_index
+
+    rows, wanted, _, expected = case
+    monkeypatch.setattr(text_index, "PATTERNS_AT_ONCE", 7)
+    monkeypatch.setattr(text_index, "SHARD_CHARS", 100)
+    assert {r.pattern_id: r.occ for r in TextIndex.build(rows, 3).count(wanted).collect()} == expected
+    assert TextIndex.build(rows.limit(0), 3).count(wanted).agg({"occ": "sum"}).first()[0] == 0
+
+
+def test_batch_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(count, "BROADCAST_PATTERNS", 1)
+    text = "".join(random.Random(2).choice("ab") for _ in range(300))
+    wanted = [(n, text[n : 2 * n + 1]) for n in range(80)]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, text[::-1])], "doc_id long, text string")
+    found = count.count_batch(docs, spark.createDataFrame(wanted, "pattern_id long, pattern string")).collect()
+    assert {r.pattern_id: r.occ for r in found} == {n: plain_count(text, p) + plain_count(text[::-1], p) for n, p in wanted}
+
+
 @pytest.mark.parametrize("lam", [1, 4, 7])
 def test_index_counts(spark, case, lam, tmp_path):
     rows, wanted, _, expected = case
@@ -71,7 +109,7 @@ def test_locate_and_inverse(case):
     texts = {r.doc_id: r.text or "" for r in rows.collect()}
     found = {(r.doc_id, r.pos) for r in locate.locate(rows, "aa").collect()}
     assert found == {(i, p) for i, t in texts.items() for p in range(len(t)) if t.startswith("aa", p)}
-    back = {r.doc_id: r.text for r in suffix.inverse_bwt(suffix.suffix_table(rows)).collect()}
+    back = {r.doc_id: r.text for r in suffix.inverse_bwt(suffix.bwt_texts(rows)).collect()}
     assert back == texts
 
 
@@ -132,7 +170,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["xx"]) == 2
     index = TextIndex.load(spark, str(tmp_path / "index"))
     assert [(r.n, r.sigma) for r in index.parameters().collect()] == [(12, 5)]
-    assert index.space().count() == len(index.tables) + 1
+    assert index.space().count() == sum(len(t.columns) for t in index.tables.values()) + 1
 
 
 def test_streams(spark, tmp_path):

@@ -14,7 +14,8 @@ from glyphgrid.llm.common import documents, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language (`und`: null, or without a letter)."""
+    """Drops documents of no language (null, without a letter, or less likely in every learned language than by even odds)
+    and gives those without a label their language."""
     return langid.accepted_rows(docs)
 
 

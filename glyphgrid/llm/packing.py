@@ -2,7 +2,8 @@
 
 The cost of a piece of n tokens is LINEAR * n + QUADRATIC * n * n (attention inside the piece). Whole multiples of the
 sequence length become sequences of their own where the document is tokenised; what is left of each document goes to
-one of many groups (by a hash of doc_id, about GROUP_BYTES of text each), and each group packs on its own: pieces in
+one of many groups (by a hash of doc_id, text and row number, so that rows of one or no doc_id spread; about GROUP_BYTES of
+text each), and each group packs on its own: pieces in
 descending length, each to the lowest-cost sequence with room for it; a piece that fits nowhere is cut at the room of
 the lowest-cost sequence that has any. A group opens ceil(tokens / length) sequences, so it pads less than one.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, release
+from .common import Recent, by_batch, release
 
 LENGTH = 4096
 END_ID = 2
@@ -48,23 +49,14 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.learned = Recent(KEPT_WORDS)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:  # words not used since the last time are forgotten
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
+        new = self.learned.missing(words)
+        known = self.learned.known
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
@@ -72,10 +64,10 @@ class WordTokens:
             if len(cuts) == len(some) and cuts[-1] == len(ids):  # each word ends in a token of the end of a word
                 data, step = ids.tobytes(), self.kind.itemsize
                 at = [0, *(cuts * step).tolist()]
-                self.known.update(zip(some, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+                known.update(zip(some, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
             else:
                 for w in some:
-                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+                    known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new words of all of them are learned together."""
@@ -88,7 +80,7 @@ class WordTokens:
             else:
                 words.append(None if any(a in text for a in self.added) else WORDS.findall(text.lower()))
         self.learn(set().union(*filter(None, words)))
-        known, whole = self.known, lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+        known, whole = self.learned.known, lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
         return [whole(t) if own is None else b"".join([known[w] for w in own]) for t, own in zip(texts, words, strict=True)]
 
 
@@ -130,7 +122,7 @@ def tokenised(docs: DataFrame, path: str, groups: int, length: int, end_id: int)
 
         return work
 
-    grp = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+    grp = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     return by_batch(docs.select(grp.alias("grp"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), PIECES, make)
 
 

@@ -48,3 +48,9 @@ def fibonacci(x: Column, most: int = 60) -> Column:
         return F.struct(F.when(take, s["rest"] - n).otherwise(s["rest"]).alias("rest"), F.concat(digit, s["code"]).alias("code"))
 
     return F.concat(F.aggregate(table, start, step)["code"], F.lit("1"))
+
+
+def comma(x: Column) -> Column:
+    """Comma code with two bits a digit: digits to base 3, and 11 as the end."""
+    digits = F.conv(x.cast("string"), 10, 3)
+    return F.concat(F.array_join(F.transform(F.split(digits, ""), lambda d: F.when(d == "", "").otherwise(F.lpad(F.bin(d.cast("long")), 2, "0"))), ""), F.lit("11"))

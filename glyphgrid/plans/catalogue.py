@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import coders
 from ..functions.text import size_text, time_text
 from ..operators import alphabet, collections, count, factorize, locate, patterns, ranges, stats, suffix
 from ..operators.kernels import code_points, lz77, per_text
-from ..sources.texts import benchmark, conversations, documents, quarantined
+from ..sources.texts import benchmark, conversations, documents, load_patterns, quarantined, save_patterns, shared_folder
 from ..streaming.counts import drained, running_counts, text_stream, windowed_counts
 from . import oracle
 from .text_index import TextIndex
@@ -99,6 +100,28 @@ def index_count_batch(spark: SparkSession, sf: str) -> DataFrame:
     return TextIndex.build(texts, 7).count(patterns.sample(texts, 12))
 
 
+@query(oracle.index_count(LONGER, oracle.CONVERSATIONS))
+def index_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that is written, read again and searched."""
+    path = f"{shared_folder(spark)}/glyphgrid/index-{uuid.uuid4().hex}"
+    TextIndex.build(conversations(spark, sf), 4).save(path)
+    return TextIndex.load(spark, path).count(spark.createDataFrame(list(enumerate(LONGER)), "pattern_id long, pattern string"))
+
+
+@query(oracle.INDEX_PARAMETERS)
+def index_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """n', r' and sigma' of each text, from an index."""
+    return TextIndex.build(benchmark(spark, sf), 4).parameters()
+
+
+@query(oracle.SAMPLE)
+def pattern_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A pattern collection with its provenance, written and read again."""
+    path = f"{shared_folder(spark)}/glyphgrid/patterns-{uuid.uuid4().hex}"
+    save_patterns(patterns.sample(documents(spark, sf), 12), path)
+    return load_patterns(spark, path)
+
+
 @query(oracle.PATTERN_FACTORS)
 def pattern_factors(spark: SparkSession, sf: str) -> DataFrame:
     """Where factors start inside patterns, under both types of the run that ends them."""
@@ -608,6 +631,12 @@ def integer_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(x.alias("x"), coders.width(x).alias("width"), coders.ones(x).alias("ones"), gamma.alias("gamma"), coders.elias_delta(x).alias("delta"), coders.elias_gamma_value(gamma).alias("back"))
 
 
+@query("WITH d AS (SELECT o_orderkey + 1 AS x, to_base(o_orderkey + 1, 3) AS d FROM orders) SELECT x, replace(replace(replace(replace(replace(d, '2', 'b'), '1', 'a'), '0', '00'), 'a', '01'), 'b', '10') || '11' AS code FROM d")
+def comma_codes(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("o_orderkey") + 1
+    return spark.read.parquet(f"{sf}/orders.parquet").select(x.alias("x"), coders.comma(x).alias("code"))
+
+
 @query()
 def fibonacci_codes(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: the greedy digits are sequential. Tests decode them."""

@@ -147,6 +147,9 @@ o AS (SELECT doc_id, before, row_number() OVER (PARTITION BY doc_id ORDER BY res
 SELECT doc_id, CAST(count(*) AS BIGINT) AS r FROM (SELECT doc_id, before, lag(before) OVER (PARTITION BY doc_id ORDER BY row) AS b FROM o) WHERE b IS NULL OR b <> before GROUP BY 1"""
 
 
+INDEX_PARAMETERS = f"SELECT * FROM ({INDEX_RUNS}) JOIN ({blocks(4, BENCHMARK)} SELECT doc_id, count(*) + 1 AS n, count(DISTINCT factor) + 1 AS sigma FROM f GROUP BY 1) USING (doc_id)"
+
+
 def range_counts(patterns: tuple[str, ...], prefix: bool) -> str:
     test = "starts_with(factor, {p})" if prefix else "ends_with(factor, {p}) AND factor <> {p}"
     return blocks(4, DOCUMENTS) + " " + " UNION ALL ".join(f"SELECT {quote(p)} AS p, count(*) FILTER (WHERE {test.format(p=quote(p))}) AS freq FROM f" for p in patterns)

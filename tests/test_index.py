@@ -158,6 +158,18 @@ def test_files_and_sql(spark, tmp_path):
     assert spark.sql("SELECT extract_range('hello', 1, 3) AS s").first().s == "ell"
 
 
+def test_compressed_files(spark, tmp_path):
+    import bz2
+    import gzip
+    import lzma
+
+    for end, pack in ((".xz", lzma.compress), (".gz", gzip.compress), (".bz2", bz2.compress), (".txt", bytes)):
+        (tmp_path / f"t{end}").write_bytes(pack("tgcaacgté\n".encode()))
+    assert {r.text for r in sources.compressed_files(spark, str(tmp_path)).collect()} == {"tgcaacgté\n"}
+    (tmp_path / "t.txt").write_bytes(b"ab\xff")
+    assert "ab\ufffd" in {r.text for r in sources.compressed_files(spark, str(tmp_path)).collect()}
+
+
 def test_command_line(spark, tmp_path, capsys):
     from glyphgrid.__main__ import main
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -233,16 +236,52 @@ def csa_counts(texts: DataFrame, patterns: list[str]) -> DataFrame:
     return wanted.join(found, "pattern", "left").select("pattern", F.coalesce("occ", F.lit(0)).alias("occ"))
 
 
-def rank(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (doc_id, at, ch) with rank: rows before `at` with ch."""
-    hits = queries.join(table, ["doc_id", "ch"], "left").groupBy("doc_id", "at", "ch")
-    return hits.agg(F.count_if(F.col("row") < F.col("at")).alias("rank"))
+class RowsOf:
+    """Rows of the BWT by symbol, in order: rank and select are look-ups."""
+
+    def __init__(self, text: str):
+        cp = code_points(text)
+        bwt = bwt_of(cp, suffix_array(cp))
+        self.n, self.order = len(bwt), np.argsort(bwt, kind="stable")
+        self.keys = (bwt[self.order] + 1) * self.n + self.order
+
+    def before(self, ch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, (ch + 1) * self.n + at)
+
+    def rank(self, ch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows before `at` with ch."""
+        return self.before(ch, np.clip(at, 0, self.n)) - self.before(ch, np.zeros_like(at))
+
+    def select(self, ch: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th row (from 1) with ch; -1 without one."""
+        first, end = self.before(ch, np.zeros_like(k)), self.before(ch, np.full_like(k, self.n))
+        return np.where((k > 0) & (first + k <= end), self.order[np.clip(first + k - 1, 0, self.n - 1)], -1)
+
+
+def asked_of(texts: DataFrame, queries: DataFrame, number: str, result: str, look: Callable[[RowsOf, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """queries (doc_id, number, ch) with result: a text meets its own queries in one row, and no symbol moves."""
+    joined = texts.join(queries.groupBy("doc_id").agg(F.collect_list(F.struct(number, "ch")).alias("asked")), "doc_id").select("doc_id", "text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = batch["asked"][i].as_py()
+                numbers = np.array([q[number] for q in own], np.int64)
+                found = look(RowsOf(batch["text"][i].as_py() or ""), np.array([ord(q["ch"]) if q["ch"] else -1 for q in own], np.int64), numbers)
+                cells = ([batch["doc_id"][i].as_py()] * len(own), numbers, [q["ch"] for q in own], found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", number, "ch", result])
+
+    return joined.mapInArrow(run, f"doc_id long, {number} long, ch string, {result} long")
+
+
+def rank(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (doc_id, at, ch) with rank: BWT rows before `at` with ch (an empty ch is the end mark)."""
+    return asked_of(texts, queries, "at", "rank", RowsOf.rank)
 
 
-def select(table: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (doc_id, k, ch) with row: the k-th row (from 1) with ch; queries without one give no row."""
-    nth = table.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "ch").orderBy("row")).cast("long"))
-    return queries.join(nth, ["doc_id", "ch", "k"]).select("doc_id", "ch", "k", "row")
+def select(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (doc_id, k, ch) with row: the k-th BWT row (from 1) with ch; queries without one give no row."""
+    return asked_of(texts, queries, "k", "row", RowsOf.select).where("row >= 0")
 
 
 def lex_intervals(texts: DataFrame, patterns: list[str]) -> DataFrame:

@@ -363,12 +363,12 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.RANK)
 def rank_query(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.rank(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"), asked(spark, sf).drop("k"))
+    return suffix.rank(conversations(spark, sf), asked(spark, sf).drop("k"))
 
 
 @query(oracle.SELECT)
 def select_query(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.select(suffix.suffix_table(conversations(spark, sf)).select("doc_id", "row", "ch"), asked(spark, sf).drop("at"))
+    return suffix.select(conversations(spark, sf), asked(spark, sf).drop("at"))
 
 
 @query(oracle.LF)

@@ -40,12 +40,23 @@ def stage_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def staged_folder(spark: SparkSession) -> str:
+    return f"{stage_dir(spark)}/glyphgrid/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes the staged tables of this application. Results that aren't written yet read from them: call it after."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(staged_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. Every file costs
     an executor a process or two, so a table that comes out of a shuffle of more partitions than its inputs have
     FILE_BYTES is written by fewer tasks (LEAST_FILES at least), whatever the cluster's size; scan: the table keeps its tasks."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/glyphgrid/{label}-{uuid.uuid4().hex}"
+    path = f"{staged_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if not scan:
         most = max(LEAST_FILES, bytes_read(df) // FILE_BYTES)
         if int(spark.conf.get("spark.sql.shuffle.partitions")) > most:
@@ -82,7 +93,7 @@ def by_batch(df: DataFrame, schema: str | StructType, make: Callable[[], Callabl
 
 
 def column(values, kind: pa.DataType) -> pa.Array:
-    return values if isinstance(values, pa.Array) and values.type == kind else pa.array(values, type=kind)
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
 def release() -> None:

@@ -7,25 +7,26 @@ new; positives join the snapshot's exact bucket. The bytes of all rows of a grou
 smallest and the largest text of a digest must be the same, which Spark computes with partial aggregation, so a
 digest that a third of all rows have doesn't meet in one task.
 
-Without a given snapshot, a table is taken as two batches cut at the middle of its doc_id range: the lower is the
-snapshot, the upper is the incoming batch.
+`Snapshot` holds entries and filters, can be saved and loaded, and tells which rows of a later batch it has seen. `dedup` takes
+one table as two batches cut at the middle of its doc_id range: the lower is the snapshot, the upper is the incoming batch.
 
 Cases: null text counts as empty; empty texts are equal to each other. A null doc_id sorts first. Rows that repeat both
 doc_id and text: one of them stays. An empty table gives no rows. Columns other than doc_id and text are carried by
-`kept_rows` and not read otherwise; columns named like internal ones are safe, as only doc_id and text are selected.
+`kept_rows`, which names its own column as none of theirs, and not read otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_fuse import BinaryFuse
-from .common import SPACES, stage, text_or_empty
+from .common import SPACES, stage, text_or_empty, unused
 
 #: keys that a bucket of a snapshot has on average at most, and the least number of buckets
 BUCKET_KEYS, LEAST_BUCKETS = 1 << 15, 256
@@ -78,13 +79,45 @@ def screened(incoming: DataFrame, built: DataFrame) -> DataFrame:
     return incoming.join(flags, "digest")
 
 
-def merge(snapshot: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
+@dataclass(frozen=True)
+class Snapshot:
+    """Immutable: entries (digest, first, n, key, bucket) and one filter for each of its buckets, built once."""
+
+    entries: DataFrame
+    filters: DataFrame
+    buckets: int
+
+    @classmethod
+    def of(cls, groups: DataFrame, buckets: int) -> Snapshot:
+        entries = with_bucket(groups, buckets)
+        return cls(entries, filters(entries), buckets)
+
+    def save(self, path: str) -> None:
+        """Writes a snapshot to a new folder."""
+        self.entries.write.parquet(f"{path}/entries")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Snapshot:
+        built = spark.read.schema("bucket int, filter binary, buckets int").parquet(f"{path}/filters")
+        first = built.select("buckets").first()
+        return cls(spark.read.parquet(f"{path}/entries"), built.drop("buckets"), first[0] if first else 1)
+
+    def known(self, docs: DataFrame) -> DataFrame:
+        """doc_id, digest, keep_id (of the snapshot's row; null if there is none) and seen of incoming rows."""
+        rows = digests(docs)
+        probed = screened(with_bucket(grouped(rows), self.buckets), self.filters).where("maybe").select("digest")
+        hits = self.entries.select("digest", F.col("first.doc_id").alias("keep_id")).join(probed, "digest").withColumn("seen", F.lit(True))
+        return rows.join(hits, "digest", "left").select("doc_id", "digest", "keep_id", F.coalesce("seen", F.lit(False)).alias("seen"))
+
+
+def merge(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
     """Groups (digest, first, n) of both: snapshot and incoming each have one row for a digest."""
-    snapshot, incoming = with_bucket(snapshot, buckets), with_bucket(incoming, buckets)
-    probed = stage(screened(incoming, filters(snapshot)), "probed")
+    entries, incoming = snapshot.entries, with_bucket(incoming, snapshot.buckets)
+    probed = stage(screened(incoming, snapshot.filters), "probed")
     hits = probed.where("maybe").select("digest", F.col("first").alias("new_first"), F.col("n").alias("new_n"))
-    old = snapshot.select("digest", "first", "n").join(hits, "digest", "left").select("digest", F.least("first", F.coalesce("new_first", "first")).alias("first"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"))
-    missed = probed.where("maybe").join(snapshot.select("digest"), "digest", "left_anti").select("digest", "first", "n")
+    old = entries.select("digest", "first", "n").join(hits, "digest", "left").select("digest", F.least("first", F.coalesce("new_first", "first")).alias("first"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"))
+    missed = probed.where("maybe").join(entries.select("digest"), "digest", "left_anti").select("digest", "first", "n")
     return old.unionByName(missed).unionByName(probed.where(~F.col("maybe")).select("digest", "first", "n"))
 
 
@@ -119,7 +152,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     middle = ((low or 0) + (high or 0)) // 2
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
-    groups = stage(merge(grouped(rows.where(old)), grouped(rows.where(~old)), buckets), "groups")
+    groups = stage(merge(Snapshot.of(grouped(rows.where(old)), buckets), grouped(rows.where(~old))), "groups")
     checked = byte_check(docs, groups.where("n > 1"), buckets)
     wrong = F.raise_error(F.concat(F.lit("different texts have the digest "), F.col("digest")))
     sure = groups.where("n > 1").join(checked, "digest", "left").select("digest", "first", F.when(F.coalesce("same", F.lit(False)), F.col("n")).otherwise(wrong.cast("long")).alias("n"))
@@ -135,16 +168,17 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     gone = found.where(~F.col("kept"))
     # a row that repeats both doc_id and text of the one that stays can't be told from it by key
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    rows = without(docs.withColumn("__digest", F.sha2(normalised(), 256)), gone.where(~again), "digest")
+    mark = unused("digest", docs)
+    rows = without(docs.withColumn(mark, F.sha2(normalised(), 256)), gone.where(~again), mark, "digest")
     twice = gone.where(again).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).distinct()
     if not twice.isEmpty():
-        same = (rows["__digest"] == twice["__key"]) & rows["doc_id"].eqNullSafe(twice["__id"])
-        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__digest"]))
-    return rows.drop("__digest")
+        same = (rows[mark] == twice["__key"]) & rows["doc_id"].eqNullSafe(twice["__id"])
+        rows = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", mark]))
+    return rows.drop(mark)
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """rows (with doc_id and __key, key being the name of the last argument) but for those of gone (with doc_id and key)."""
+def without(rows: DataFrame, gone: DataFrame, mark: str, key: str) -> DataFrame:
+    """rows but for those whose doc_id and mark are the doc_id and key of a row of gone."""
     few = gone.count() <= BROADCAST_IDS
     marks = gone.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key")).distinct()
-    return rows.join(F.broadcast(marks) if few else marks, (rows[f"__{key}"] == marks["__key"]) & rows["doc_id"].eqNullSafe(marks["__id"]), "left_anti")
+    return rows.join(F.broadcast(marks) if few else marks, (rows[mark] == marks["__key"]) & rows["doc_id"].eqNullSafe(marks["__id"]), "left_anti")

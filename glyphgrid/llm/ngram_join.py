@@ -7,9 +7,13 @@ recall 0.9999), and 0.06 at 0.3.
 
 Nodes of a bucket are compared by signature (one byte of each MinHash value): first with the bucket's smallest node, and,
 where that fails, the ones left over with all others of their bucket, in blocks. What agrees in CLOSE or more
-(5.6 standard deviations below 0.8) makes provisional clusters. Each cluster gets the texts of its nodes once and
-verifies every pair of its nodes on the full sets, in blocks of BLOCK nodes for large clusters; what leaves a block is
-one row for each node: its links and the smallest node it hangs together with. Pairs are counted, never emitted.
+(5.6 standard deviations below 0.8) makes provisional clusters. Each cluster gets the texts of its nodes once, in blocks
+of BLOCK nodes and GROUP_BYTES at most, and verifies every pair of its nodes on the full sets. A cluster of several blocks has a
+pivot, its smallest node, which goes to every block: there each set S becomes its difference D to the pivot's set P, and
+  |S & T| = |P| - |P - S| - |P - T| + |D & E|,
+so that pairs of blocks need the differences alone, which are short for near copies; texts and sets aren't copied. What leaves
+a block pair is one row for each node: its links and the smallest node it hangs together with. Pairs are counted, never
+emitted.
 
 Result: for each row, class_id (the smallest doc_id that verified links connect it to) and n_links (the number of
 other rows at THRESHOLD or more, copies included).
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, mixed, release, slices, stage, windows, words_of
+from .common import by_batch, mixed, release, slices, stage, unused, windows, words_of
 from .exact_dedup import without
 from .graph import components
 
@@ -38,10 +42,10 @@ THRESHOLD = (4, 5)
 ROWS, BANDS = 5, 25
 HASHES = ROWS * BANDS
 CLOSE = 0.6
-BLOCK = 256
-#: rows of a task's group for buckets, bytes of text of a group for verification
+BLOCK = 1024
+#: rows of a task's group for buckets, bytes of text or differences of a block and of a group for verification
 BUCKET_ROWS, GROUP_BYTES = 20_000, 4_000_000
-#: candidate ids up to which their table is broadcast to fetch texts (16 bytes each); more are joined by shuffle
+#: candidate ids and bucket keys up to which their table is broadcast (16 bytes each); more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -168,7 +172,8 @@ def clusters(nodes: DataFrame) -> DataFrame:
     """(node, component) of all nodes in provisional clusters of two or more."""
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
-    members = stage(members.join(shared, "key"), "buckets")
+    shared = stage(shared, "shared-keys")  # a table of its own: a key that very many nodes have can be split
+    members = stage(members.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key"), "buckets", scan=True)
     sig = nodes.select("node", "sig")
     pairs = members.where("node <> lead").select("node", "lead").distinct().join(sig, "node").join(sig.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
     judged = stage(close_to_first(pairs), "leads")
@@ -187,7 +192,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] and sets[right], (left, right)."""
-    values, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
     keep = count[col] > 1
     col, owner = (np.cumsum(count > 1) - 1)[col[keep]], owner[keep]
@@ -195,46 +200,109 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     width = int(col.max()) + 1 if len(col) else 0
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
-    for start in range(0, width, 4096):
-        a, b = np.searchsorted(col, (start, start + 4096))
-        x = np.zeros((len(sets), min(4096, width - start)), np.float32)
+    step = max(64, (1 << 20) // max(1, len(sets)))
+    for start in range(0, width, step):
+        a, b = np.searchsorted(col, (start, start + step))
+        x = np.zeros((len(sets), min(step, width - start)), np.float32)
         x[owner[a:b], col[a:b] - start] = 1
         out += x[left] @ x[right].T
     return out.astype(np.int64)
 
 
+VERIFIED = "component long, node long, other long, links long, copies long, size int, gone int, pivot int, differs binary"
+
+
+def linked(part: pd.DataFrame, both: np.ndarray, left: np.ndarray, right: np.ndarray, mirrored: bool) -> pd.DataFrame:
+    """(component, node, other, links) of rows with node, copies and size, from the sizes of the intersections of left and
+    right ones; mirrored: a pair counts for its right side too."""
+    node, copies, size = part["node"].to_numpy(), part["copies"].to_numpy(), part["size"].to_numpy(np.int64)
+    near = THRESHOLD[1] * both >= THRESHOLD[0] * (size[left][:, None] + size[right][None, :] - both)
+    near &= left[:, None] != right[None, :]
+    u, v = np.nonzero(near)
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, left[u], copies[right[v]])
+    if mirrored:
+        np.add.at(links, right[v], copies[left[u]])
+    label = roots(len(node), left[u], right[v])
+    smallest = pd.Series(node).groupby(label).transform("min").to_numpy()
+    return part[["component", "node"]].assign(other=smallest, links=links)[links > 0]
+
+
 def verified(part: pd.DataFrame) -> pd.DataFrame:
-    """(node, other, links) from texts of cluster blocks: exact links of each node inside its block pair."""
-    out = []
-    for (_, low, high), own in part.groupby(["component", "low", "high"], sort=False):
+    """From the texts of cluster blocks: exact links of the nodes of a cluster that is one block, and the differences to
+    the pivot of the others."""
+    out = [pd.DataFrame({k.split()[0]: [] for k in VERIFIED.split(", ")})]
+    for _, own in part.groupby(["component", "block"], sort=False):
         sets = []
         for _, parts in slices(own["text"].tolist()):
             sets += ngram_sets(parts)
         # a text of another set can share doc_id and hash: it goes before repeated nodes do
         good = np.flatnonzero([set_id(s) == k for s, k in zip(sets, own["set_id"], strict=True)])
         good = good[~own["node"].iloc[good].duplicated().to_numpy()]
-        own, sets = own.iloc[good], [sets[g] for g in good]
-        node, copies, block = own["node"].to_numpy(), own["copies"].to_numpy(), own["block"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right):
+        own, sets = own.iloc[good].reset_index(drop=True), [sets[g] for g in good]
+        own["size"] = list(map(len, sets))
+        every = np.arange(len(own))
+        if own["blocks"].iloc[:1].eq(1).all():
+            out.append(linked(own, common_counts(sets, every, every), every, every, False))
             continue
-        size = np.array(list(map(len, sets)))
-        both = common_counts(sets, left, right)
-        linked = THRESHOLD[1] * both >= THRESHOLD[0] * (size[left][:, None] + size[right][None, :] - both)
-        linked &= left[:, None] != right[None, :]
-        u, v = np.nonzero(linked)
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, left[u], copies[right[v]])
-        if low != high:
-            np.add.at(links, right[v], copies[left[u]])
-        label = roots(len(node), left[u], right[v])
-        some = links > 0
-        if some.any():
-            smallest = pd.Series(node).groupby(label).transform("min").to_numpy()
-            out.append(pd.DataFrame({"node": node[some], "other": smallest[some], "links": links[some]}))
+        pivot = sets[int(np.flatnonzero(own["node"] == own["pivot"])[0])]
+        own["differs"] = [np.setxor1d(s, pivot, assume_unique=True).tobytes() for s in sets]
+        own["gone"] = [len(pivot) - len(np.intersect1d(s, pivot, assume_unique=True)) for s in sets]
+        own["pivot"] = len(pivot)
+        out.append(own[~own["extra"]][["component", "node", "copies", "size", "gone", "pivot", "differs"]])
+    del part
+    release()
+    return pd.concat(out)[[k.split()[0] for k in VERIFIED.split(", ")]].astype({k.split()[0]: "Int64" for k in VERIFIED.split(", ")[:-1]})
+
+
+def verified_pairs(part: pd.DataFrame) -> pd.DataFrame:
+    """(component, node, other, links) from the differences of pairs of blocks."""
+    out = [pd.DataFrame({k: pd.Series([], dtype="int64") for k in ("component", "node", "other", "links")})]
+    for (_, low, high), own in part.groupby(["component", "low", "high"], sort=False):
+        block, gone = own["block"].to_numpy(), own["gone"].to_numpy(np.int64)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if len(left) and len(right):
+            both = common_counts([np.frombuffer(d, np.uint64) for d in own["differs"]], left, right)
+            both += int(own["pivot"].iloc[0]) - gone[left][:, None] - gone[right][None, :]
+            out.append(linked(own.reset_index(drop=True), both, left, right, low != high))
     del part
     release()
-    return pd.concat(out) if out else pd.DataFrame({"node": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64")})
+    return pd.concat(out)
+
+
+def sized_blocks(members: DataFrame, size: str) -> DataFrame:
+    """members with blocks and block of their cluster: BLOCK nodes and about GROUP_BYTES of `size` each at most."""
+    sizes = members.groupBy("component").agg(F.min("node").alias("least"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / GROUP_BYTES)).cast("int").alias("blocks"))
+    sizes = stage(sizes, "cluster-sizes")  # a table of its own: a very large cluster can be split
+    few = sizes.count() <= BROADCAST_IDS
+    return members.join(F.broadcast(sizes) if few else sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def in_groups(rows: DataFrame, size: str, *key: str) -> DataFrame:
+    """rows grouped for tasks, about GROUP_BYTES of `size` each, the rows of one key together."""
+    total = rows.agg(F.sum(F.col(size).cast("long"))).first()[0] or 0
+    return rows.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(max(1, total // GROUP_BYTES)))).groupBy("grp")
+
+
+def links_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, node, other, links) of the nodes of clusters: other hangs together with node."""
+    members = stage(sized_blocks(members, "size"), "members")
+    at = F.when((F.col("node") == F.col("least")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    placed = members.select("component", "node", "set_id", "first", "copies", "blocks", F.col("least").alias("pivot"), F.col("block").alias("own"), F.col("size").alias("bytes"), F.explode(at).alias("block"))
+    placed = placed.withColumn("extra", F.col("own") != F.col("block")).drop("own")
+    groups = max(1, (placed.agg(F.sum(F.col("bytes").cast("long"))).first()[0] or 0) // GROUP_BYTES)
+    texts = fetched(docs, placed).withColumn("grp", F.pmod(F.xxhash64("component", "block"), F.lit(groups)))
+    texts = texts.select("grp", "component", "block", "blocks", "node", "pivot", "extra", "set_id", "copies", "text")
+    exact = stage(texts.groupBy("grp").applyInPandas(verified, VERIFIED), "verified", scan=True)
+    links = exact.where("other is not null").select("component", "node", "other", "links")
+    apart = exact.where("differs is not null").select("component", "node", "copies", "size", "gone", "pivot", "differs", (F.length("differs") + 64).alias("bytes"))
+    if apart.isEmpty():
+        return links
+    apart = sized_blocks(apart, "bytes")
+    apart = apart.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "copies", "size", "gone", "pivot", "differs", "bytes")
+    more = in_groups(apart, "bytes", "component", "low", "high").applyInPandas(verified_pairs, "component long, node long, other long, links long")
+    return links.unionByName(stage(more, "links", scan=True))
 
 
 def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -253,18 +321,7 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "th")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.max("size").alias("size"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = clusters(nodes)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    found = found.join(sizes, "component").select("node", "component", blocks.alias("blocks"))
-    members = stage(found.join(nodes.select("node", "set_id", "first", "copies", "size"), "node"), "members")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = fetched(docs, members)
-    texts = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("component", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "set_id", "copies", "text")
-    size = members.agg(F.sum(F.col("size").cast("long") * F.col("blocks"))).first()[0] or 0
-    groups = max(1, size // GROUP_BYTES)
-    grp = F.pmod(F.xxhash64("component", "low", "high"), F.lit(groups))
-    exact = stage(texts.withColumn("grp", grp).groupBy("grp").applyInPandas(verified, "node long, other long, links long"), "links")
+    exact = links_of(docs, found.join(nodes.select("node", "set_id", "first", "copies", "size"), "node"))
     classes = components(exact.select(F.col("node").alias("u"), F.col("other").alias("v")), "classes")
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = nodes.select("node", "set_id", "first", "copies").join(links, "node", "left").join(classes, "node", "left")
@@ -283,4 +340,5 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     stays = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     gone = found.where(~F.col("kept"))
     gone = gone.join(stays, gone["doc_id"].eqNullSafe(stays["__id"]) & (gone["th"] == stays["__th"]), "left_anti")
-    return without(docs.withColumn("__th", F.xxhash64("text")), gone, "th").drop("__th")
+    mark = unused("th", docs)
+    return without(docs.withColumn(mark, F.xxhash64("text")), gone, mark, "th").drop(mark)

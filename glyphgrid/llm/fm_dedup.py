@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, release, stage
 from .fm_index import FmIndex
-from .passages import TEXT, Unit, first_rows, judged, kinds_of, measured, segments, with_spans
+from .passages import TEXT, Unit, first_rows, measured, repeated
 
 WIDTH, GRAM = 35, 12
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -30,11 +30,11 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 
 def covered(n: int, spans: np.ndarray, width: int) -> np.ndarray:
     """Which of n units are in a window whose start is in one of the spans (see by_segment)."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     first, count = spans >> 32, spans & 0xFFFFFFFF
     np.add.at(edge, first, 1)
     np.add.at(edge, first + count + width - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def shard_repeats(part: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -108,13 +108,7 @@ def verdicts(rows: DataFrame, heads: DataFrame, cut: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
     """doc_id, th, text, spans (stretches of first words of repeated windows) of the texts that have any."""
-    found = segments(docs, rows, heads, unit)
-    kinds = kinds_of(found)
-    again = judged(kinds, unit, lambda part: shard_repeats(part, unit.width), F.col("total") > 1)
-    marks = kinds.select("seg_id", "n").join(again, "seg_id", "left").where("n > 1 or spans is not null")
-    marks = stage(marks, "marks")  # a table of its own: Spark can split the join at a very common segment
-    hits = found.select(*TEXT, "at", "windows", "seg_id").join(marks, "seg_id")
-    return with_spans(docs, hits.withColumn("spans", F.when(F.col("n") > 1, F.array(F.col("windows").cast("long"))).otherwise(F.col("spans"))))
+    return repeated(docs, rows, heads, unit, lambda part: shard_repeats(part, unit.width))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, release, stage, windows
+from .common import mixed, release, windows
 from .fm_dedup import by_segment, removed, verdicts
-from .passages import Unit, first_rows, judged, kinds_of, measured, segments, with_spans
+from .passages import Unit, first_rows, measured, repeated
 
 WIDTH, GRAM = 100, 32
 TRIGGER, MODULUS = 8, 24
@@ -181,16 +181,7 @@ def ranked_in_order(sorted_rows: pd.DataFrame) -> np.ndarray:
 
 def repeats(docs: DataFrame, rows: DataFrame, heads: DataFrame, unit: Unit) -> DataFrame:
     """doc_id, th, text, spans (stretches of first bytes of windows that start earlier too) of the texts that have any."""
-    found = segments(docs, rows, heads, unit)
-    kinds = kinds_of(found)
-    again = judged(kinds, unit, lambda part: shard_repeats(part, unit.width), F.col("own") != F.col("least"))
-    marks = kinds.select("seg_id", "n", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.at").alias("first_at"))
-    marks = marks.join(again, "seg_id", "left").where("n > 1 or spans is not null")
-    marks = stage(marks, "marks")  # a table of its own: Spark can split the join at a very common segment
-    hits = found.select("doc_id", "th", "at", "windows", "seg_id").join(marks, "seg_id")
-    at_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")) & (F.col("at") == F.col("first_at"))
-    hits = hits.withColumn("spans", F.when(at_first, F.col("spans")).otherwise(F.array(F.col("windows").cast("long"))))
-    return with_spans(docs, hits.where("spans is not null"))
+    return repeated(docs, rows, heads, unit, lambda part: shard_repeats(part, unit.width))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A compressed FM-index over integer sequences: BWT in a wavelet matrix of packed bits, with vectorised backward search."""
+"""A run-length compressed FM-index over integer sequences, with vectorised backward search.
+
+The BWT is kept as runs: where each starts, a wavelet matrix of packed bits over the runs' symbols, and the lengths summed up
+in the order of symbols. A rank is the full runs of the symbol before, from the wavelet matrix and the sums, and the part of
+the run at hand. Shards hold passages that repeat in several contexts, so runs are fewer than symbols."""
 
 from __future__ import annotations
 
@@ -49,18 +53,29 @@ class FmIndex:
         self.n = len(text)
         order = suffix_order(text, depth + 1)
         bwt = text[order - 1]  # the text is taken as a circle; patterns never hold its last symbol, a separator
-        count = np.bincount(text, minlength=sigma)
-        self.starts = np.concatenate(([0], np.cumsum(count)))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
+        self.first = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1]))) if self.n else np.empty(0, np.int64)
+        self.symbol = bwt[self.first].astype(np.int32)
+        length = np.diff(np.append(self.first, self.n))
+        by = np.argsort(self.symbol, kind="stable")
+        #: lengths of runs summed up symbol by symbol, and the number of runs of smaller symbols
+        self.sums = np.concatenate(([0], np.cumsum(length[by])))
+        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(self.symbol, minlength=sigma))))
         self.levels: list[Bits] = []
         self.zeros: list[int] = []
         self.depth = max(1, int(sigma - 1).bit_length())
+        runs = self.symbol
         for level in range(self.depth - 1, -1, -1):
-            bits = (bwt >> level) & 1
+            bits = (runs >> level) & 1
             self.levels.append(Bits(bits))
-            self.zeros.append(self.n - self.levels[-1].ones)
-            bwt = np.concatenate((bwt[bits == 0], bwt[bits == 1]))
+            self.zeros.append(len(runs) - self.levels[-1].ones)
+            runs = np.concatenate((runs[bits == 0], runs[bits == 1]))
         symbols = np.arange(sigma)
-        self.shift = self.starts[:-1] - self._down(symbols, np.zeros(sigma, np.int64))
+        self.shift = -self._down(symbols, np.zeros(sigma, np.int64))
+
+    @property
+    def runs(self) -> int:
+        return len(self.symbol)
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
@@ -68,10 +83,17 @@ class FmIndex:
             at = np.where((symbol >> (self.depth - 1 - k)) & 1, zeros + ones, at - ones)
         return at
 
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of the first `at` rows of the BWT have the symbol."""
+        run = np.maximum(np.searchsorted(self.first, at, side="right") - 1, 0)
+        before = self.smaller[symbol]
+        full = before + self.shift[symbol] + self._down(symbol, run)
+        return self.sums[full] - self.sums[before] + np.where(self.symbol[run] == symbol, at - self.first[run], 0)
+
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges [low, high) of patterns with a symbol put before each."""
-        shift = self.shift[symbol]
-        return shift + self._down(symbol, low), shift + self._down(symbol, high)
+        start = self.starts[symbol]
+        return start + self.rank(symbol, low), start + self.rank(symbol, high)
 
     def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
         """For each end (exclusive) in a streamed text: how long the longest stretch that stops there and is in the

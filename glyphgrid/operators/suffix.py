@@ -25,6 +25,20 @@ def suffix_table(texts: DataFrame) -> DataFrame:
     return per_text(texts, "doc_id long, row long, pos long, ch string", kernel)
 
 
+def middle_rows(texts: DataFrame) -> DataFrame:
+    """doc_id, row, pos, ch, n: the suffix table's rows in the second and third quarter of each text's n rows. They are cut
+    out where the text is: neither the others nor a table of n move."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        order = suffix_array(cp)
+        n = len(order)
+        part = slice(n // 4, 3 * n // 4)
+        return {"row": np.arange(n)[part], "pos": order[part], "ch": chars(bwt_of(cp, order)[part]), "n": np.full(n, n)[part]}
+
+    return per_text(texts, "doc_id long, row long, pos long, ch string, n long", kernel)
+
+
 def lcp_array(texts: DataFrame) -> DataFrame:
     def kernel(text: str) -> dict:
         cp = code_points(text)

@@ -477,9 +477,7 @@ def lz77_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 def middle(spark: SparkSession, sf: str) -> DataFrame:
     """BWT rows of each text in the second and third quarter, with n."""
-    n = conversations(spark, sf).select("doc_id", (F.length("text") + 1).cast("long").alias("n"))
-    rows = suffix.suffix_table(conversations(spark, sf)).join(n, "doc_id")
-    return rows.where((F.col("row") >= F.floor(F.col("n") / 4)) & (F.col("row") < F.floor(3 * F.col("n") / 4)))
+    return suffix.middle_rows(conversations(spark, sf))
 
 
 @query(oracle.RANGE_2D)

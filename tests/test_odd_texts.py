@@ -33,3 +33,14 @@ def same(spark, odd, name):
 @pytest.mark.parametrize("name", ["text_params_n_sigma", "effective_width"])
 def test_params(spark, odd, name):
     same(spark, odd, name)
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["range_count_2d", "wt_quantile", "wt_interval_symbols", "wt_lex_count", "wt_intersect", "wt_unique_range"])
+def test_middle_rows(spark, odd, name):
+    same(spark, odd, name)
+    if name != "wt_intersect":  # which joins its two sides
+        assert "Join" not in planned(QUERIES[name](spark, odd[0]))

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .kernels import bwt_of, chars, code_points, lcp_intervals, lcp_of, per_text, run_count, suffix_array
 from .wavelet import Wavelet
@@ -139,13 +138,16 @@ def bwt_run_counts(texts: DataFrame) -> DataFrame:
     return per_text(texts, "doc_id long, r long", kernel)
 
 
-def bwt_runs(table: DataFrame) -> DataFrame:
-    """doc_id, run_id, start, len, ch, from a suffix table."""
-    order = Window.partitionBy("doc_id").orderBy("row")
-    head = F.coalesce((F.lag("ch").over(order) != F.col("ch")).cast("int"), F.lit(0))
-    runs = table.select("doc_id", "row", "ch", head.alias("head"))
-    runs = runs.withColumn("run_id", F.sum("head").over(order).cast("long"))
-    return runs.groupBy("doc_id", "run_id").agg(F.min("row").alias("start"), F.count("*").alias("len"), F.first("ch").alias("ch"))
+def bwt_runs(texts: DataFrame) -> DataFrame:
+    """doc_id, run_id, start, len, ch: found where the text is, so that no symbol moves."""
+
+    def kernel(text: str) -> dict:
+        cp = code_points(text)
+        bwt = bwt_of(cp, suffix_array(cp))
+        head = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
+        return {"run_id": range(len(head)), "start": head, "len": np.diff(np.append(head, len(bwt))), "ch": chars(bwt[head])}
+
+    return per_text(texts, "doc_id long, run_id long, start long, len long, ch string", kernel)
 
 
 def lf_of(bwt: np.ndarray) -> np.ndarray:

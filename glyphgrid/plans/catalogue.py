@@ -352,7 +352,7 @@ def bwt_runs_r(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.BWT_RUNS)
 def bwt_run_table(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.bwt_runs(suffix.suffix_table(conversations(spark, sf)))
+    return suffix.bwt_runs(conversations(spark, sf))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,3 +44,8 @@ def test_middle_rows(spark, odd, name):
     same(spark, odd, name)
     if name != "wt_intersect":  # which joins its two sides
         assert "Join" not in planned(QUERIES[name](spark, odd[0]))
+
+
+def test_run_table(spark, odd):
+    same(spark, odd, "bwt_run_table")
+    assert "Window" not in planned(QUERIES["bwt_run_table"](spark, odd[0]))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .grammar import factor_starts
+from .count import CHARS_AT_ONCE, batch_texts, mixed
 from .kernels import block_starts, bwt_of, code_points, lms_positions, per_text, run_count, s_types, sl_factor_starts, suffix_array
 
 
@@ -49,6 +53,65 @@ def factors(texts: DataFrame, lam: int) -> DataFrame:
     return per_text(texts, "doc_id long, ord long, start long, len long, factor string", kernel)
 
 
+def counted_in_place(texts: DataFrame, lam: int, before: int | None, after: int) -> DataFrame:
+    """factor, next, n: the blocks (of longer ones the last `before` characters) with the `after` characters that follow in
+    their text, counted for about CHARS_AT_ONCE characters where the texts are. Only counts move."""
+    checked(lam)
+
+    def counted(held: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+        text = "".join(t for t, _ in held)
+        cp, size = code_points(text), np.array([len(t) for t, _ in held])
+        shift = np.cumsum(size) - size
+        start = np.concatenate([s + k for (_, s), k in zip(held, shift, strict=True)])
+        own_end = np.concatenate([np.full(len(s), k + len(t)) for (t, s), k in zip(held, shift, strict=True)])
+        cut = np.append(start[1:], len(text))
+        first = start if before is None else np.maximum(start, cut - before)
+        last = np.minimum(cut + after, own_end)
+        key = mixed((cut - first).astype(np.uint64), (last - first).astype(np.uint64))
+        at_most = max(int((last - first).max()), 1)
+        for k in range(at_most):
+            more = first + k < last
+            key[more] = mixed(key[more], cp[first[more] + k].astype(np.uint64) + np.uint64(1))
+        number = pa.array(key).dictionary_encode().indices.to_numpy()
+        one = np.zeros(int(number.max()) + 1, np.int64)
+        one[number[::-1]] = np.arange(len(key))[::-1]
+        a, b, c = first[one][number], cut[one][number], last[one][number]
+        same = (b - a == cut - first) & (c - a == last - first)
+        for k in range(at_most):
+            more = np.flatnonzero(same & (first + k < last))
+            same[more] = cp[first[more] + k] == cp[a[more] + k]
+        odd = np.flatnonzero(~same)  # of another string's hash
+        n = np.concatenate((np.bincount(number[same], minlength=len(one)), np.ones(len(odd), np.int64)))
+        rows = np.concatenate((one, odd))
+        parts = list(zip(first[rows].tolist(), cut[rows].tolist(), last[rows].tolist(), strict=True))
+        cells = ([text[a:b] for a, b, _ in parts], [text[b:c] for _, b, c in parts], n)
+        return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(cells, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["factor", "next", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for text in batch_texts(batches):
+            if text:
+                held.append((text, block_starts(code_points(text), lam)))
+                size += len(text)
+            if size >= CHARS_AT_ONCE:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return texts.select("text").mapInArrow(run, "factor string, next string, n long")
+
+
+def factor_counts(texts: DataFrame, lam: int) -> DataFrame:
+    """factor, freq of the blocks of all texts."""
+    return counted_in_place(texts, lam, None, 0).groupBy("factor").agg(F.sum("n").alias("freq"))
+
+
+def borders(texts: DataFrame, lam: int, width: int) -> DataFrame:
+    """factor (its last `width` characters), next (the `width` characters after it), n: what meets at the blocks' borders."""
+    return counted_in_place(texts, lam, width, width).groupBy("factor", "next").agg(F.sum("n").alias("n"))
+
+
 def dense_ids(rows: DataFrame, key: str, name: str, weight: Column | None = None, total: str = "bucket_start") -> DataFrame:
     """Ranks from 1 of the distinct strings of `key` (and the running sum of weights before each). Strings are ranked
     inside their two-character prefix, on top of what smaller prefixes hold, so that only the table of prefixes is
@@ -69,13 +132,17 @@ def dense_ids(rows: DataFrame, key: str, name: str, weight: Column | None = None
 
 def lex_dictionary(blocks: DataFrame) -> DataFrame:
     """factor, lex_id, freq, bucket_start (blocks with a smaller factor)."""
-    counts = blocks.groupBy("factor").agg(F.count("*").alias("freq"))
+    return ranked(blocks.groupBy("factor").agg(F.count("*").alias("freq")))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """The same from factor_counts."""
     return dense_ids(counts, "factor", "lex_id", F.col("freq")).select("factor", "lex_id", "freq", "bucket_start")
 
 
-def colex_dictionary(blocks: DataFrame) -> DataFrame:
-    """rev, colex_id, lex_id: the same factors in the order of their reversals."""
-    lex = lex_dictionary(blocks).withColumn("rev", F.reverse("factor"))
+def colex_dictionary(dictionary: DataFrame) -> DataFrame:
+    """rev, colex_id, lex_id: the factors of a dictionary in the order of their reversals."""
+    lex = dictionary.withColumn("rev", F.reverse("factor"))
     return dense_ids(lex, "rev", "colex_id").select("rev", "colex_id", "lex_id")
 
 

@@ -160,12 +160,12 @@ def count_decomposition(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.range_counts(SHORT, prefix=True))
 def prefix_range_count(spark: SparkSession, sf: str) -> DataFrame:
-    return count.prefix_range_count(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4)), list(SHORT))
+    return count.prefix_range_count(factorize.factor_counts(documents(spark, sf), 4), list(SHORT))
 
 
 @query(oracle.range_counts(SHORT, prefix=False))
 def suffix_range_count(spark: SparkSession, sf: str) -> DataFrame:
-    return count.suffix_range_count(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4)), list(SHORT))
+    return count.suffix_range_count(factorize.factor_counts(documents(spark, sf), 4), list(SHORT))
 
 
 @query(oracle.DIFF_CHECK)
@@ -288,12 +288,12 @@ for _lam in range(1, 9):
 
 @query(oracle.LEX_DICTIONARY)
 def lex_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return factorize.lex_dictionary(factorize.factors(documents(spark, sf), 4))
+    return factorize.ranked(factorize.factor_counts(documents(spark, sf), 4))
 
 
 @query(oracle.COLEX_DICTIONARY)
 def colex_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return factorize.colex_dictionary(factorize.factors(documents(spark, sf), 4))
+    return factorize.colex_dictionary(factorize.ranked(factorize.factor_counts(documents(spark, sf), 4)))
 
 
 @query(oracle.LEX_TEXT)
@@ -303,12 +303,12 @@ def lex_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.SUB_FACTORS)
 def sub_factor_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return factorize.sub_factors(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 7)))
+    return factorize.sub_factors(factorize.factor_counts(documents(spark, sf), 7))
 
 
 @query(oracle.TRIE_DEPTH)
 def sub_factor_trie_depth(spark: SparkSession, sf: str) -> DataFrame:
-    inner = factorize.sub_factors(factorize.lex_dictionary(factorize.factors(documents(spark, sf), 7)))
+    inner = factorize.sub_factors(factorize.factor_counts(documents(spark, sf), 7))
     return inner.groupBy(F.length("sub").cast("long").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
@@ -644,8 +644,8 @@ def fibonacci_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.SPACE)
 def space_report(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = factorize.factors(documents(spark, sf), 4)
-    return stats.space_report({"texts": documents(spark, sf), "dictionary": factorize.lex_dictionary(blocks), "alphabet": alphabet.symbol_table(documents(spark, sf))})
+    dictionary = factorize.ranked(factorize.factor_counts(documents(spark, sf), 4))
+    return stats.space_report({"texts": documents(spark, sf), "dictionary": dictionary, "alphabet": alphabet.symbol_table(documents(spark, sf))})
 
 
 @query(oracle.ENTROPY)

@@ -153,9 +153,10 @@ def interval_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle.decomposition(SHORT, 7))
 def count_decomposition(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = factorize.factors(documents(spark, sf), 7)
-    dictionary = factorize.lex_dictionary(blocks)
-    return count.decomposition(blocks, dictionary, factorize.sub_factors(dictionary), list(SHORT), 7)
+    texts = documents(spark, sf)
+    dictionary = factorize.factor_counts(texts, 7)
+    borders = factorize.borders(texts, 7, max(map(len, SHORT)) - 1)
+    return count.decomposition(None, dictionary, factorize.sub_factors(dictionary), list(SHORT), 7, borders)
 
 
 @query(oracle.range_counts(SHORT, prefix=True))

@@ -36,7 +36,7 @@ def test_decomposition_from_borders(case):  # noqa: F811
     assert sorted(one) == sorted(count.decomposition(None, dictionary, inner, own, 7, factorize.borders(rows, 7, 2)).collect())
 
 
-@pytest.mark.parametrize("name", ["suffix_range_count", "prefix_range_count", "sub_factor_counts"])
+@pytest.mark.parametrize("name", ["count_decomposition", "suffix_range_count", "prefix_range_count", "sub_factor_counts"])
 def test_no_blocks_move(spark, odd, name):  # noqa: F811
     plan = planned(QUERIES[name](spark, odd[0]))
     assert "Window" not in plan and "ord#" not in plan

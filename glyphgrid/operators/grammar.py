@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -78,6 +79,20 @@ class Shard:
             colex[i + 1] = rank + 1
         return cls(factors, bwt[head], np.diff(np.append(head, len(bwt))), colex)
 
+    def texts(self) -> Iterator[str]:
+        """The texts, read back from the BWT by LF steps: each from its end mark to the end mark before it (the row of the
+        whole sequence has one too). The rows of suffixes that start with an end mark follow that of the empty suffix."""
+        bwt = np.repeat(self.symbols, self.lengths)
+        lf = np.empty(len(bwt), np.int64)
+        lf[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        ends, symbols, step = int((bwt == 0).sum()), bwt.tolist(), lf.tolist()
+        for row in range(1, ends):
+            own = []
+            while symbol := symbols[row]:
+                own.append(self.factors[symbol - 1])
+                row = step[row]
+            yield "".join(reversed(own))
+
     def opened(self) -> Shard:
         """Makes the tables that searches need."""
         bwt = np.repeat(self.symbols, self.lengths)

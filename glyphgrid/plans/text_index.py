@@ -3,7 +3,9 @@
 The index is a table of shards, each of about SHARD_CHARS characters of whole texts: the dictionary of their factor
 blocks in order, the order of the reversed blocks, and the runs of the Burrows-Wheeler transform of the block text. Building
 is one scan, counting is one scan of the shards with the patterns broadcast, and only counts by pattern move. Counting
-needs no text. A batch over PATTERNS_AT_ONCE is searched part by part.
+needs no text. The search of a shard takes time by pattern, so a batch over PATTERNS_AT_ONCE would take shards times
+patterns: for such a batch each shard reads its texts back from its BWT, once, and counts their windows that pass a filter of
+the patterns.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import factorize
+from ..operators.count import PatternFilter
 from ..operators.grammar import Shard, border_sets, pieces
 from ..sources.texts import validated
 
@@ -27,7 +30,8 @@ TABLES = {
     "alphabet": "ch string, symbol long",
 }
 SHARD_CHARS = 1 << 20
-PATTERNS_AT_ONCE = 100_000
+#: patterns that a shard is searched for one by one
+PATTERNS_AT_ONCE = 10_000
 
 
 def sharded(texts: DataFrame, lam: int) -> DataFrame:
@@ -57,6 +61,18 @@ def sharded(texts: DataFrame, lam: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, TABLES["shards"])
 
 
+def numbers(batch: pa.RecordBatch, i: int, column: str) -> np.ndarray:
+    return np.frombuffer(batch[column][i].as_py(), "<i4").astype(np.int64)
+
+
+def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    """The texts of shards."""
+    for batch in batches:
+        for i in range(len(batch)):
+            own = Shard(batch["factors"][i].as_py(), numbers(batch, i, "symbols"), numbers(batch, i, "lengths"), np.zeros(0, np.int64))
+            yield from own.texts()
+
+
 class TextIndex:
     """Tables: shards, documents (doc_id and the parameters of its block text), alphabet (ch, symbol)."""
 
@@ -120,14 +136,12 @@ class TextIndex:
         """pattern_id, occ of patterns (pattern_id, pattern); null or empty ones are refused."""
         bad = F.raise_error(F.lit("an empty pattern has no count")).cast("string")
         patterns = patterns.select("pattern_id", F.when(F.length("pattern") > 0, F.col("pattern")).otherwise(bad).alias("pattern"))
-        distinct = patterns.select("pattern").distinct()
-        parts = max(1, -(-distinct.count() // PATTERNS_AT_ONCE))
-        found = None
-        for part in range(parts):
-            own = sorted(r["pattern"] for r in distinct.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect())
-            counts = self._searched(own)
-            found = counts if found is None else found.unionByName(counts)
-        total = found.groupBy("gram").agg(F.sum("cnt").alias("cnt"))
+        few = patterns.agg(F.count("*"), F.collect_set(F.length("pattern"))).first()
+        if few[0] > PATTERNS_AT_ONCE:
+            total = PatternFilter(patterns, few[0]).counts(self.tables["shards"].drop("shard", "colex"), read_back, few[1])
+        else:
+            found = self._searched(sorted({r["pattern"] for r in patterns.select("pattern").collect()}))
+            total = found.groupBy("gram").agg(F.sum("cnt").alias("cnt"))
         return patterns.join(total, patterns["pattern"] == total["gram"], "left").select("pattern_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("occ"))
 
     def _searched(self, patterns: list[str]) -> DataFrame:
@@ -141,8 +155,8 @@ class TextIndex:
             total = np.zeros(len(own), np.int64)
             for batch in batches:
                 for i in range(len(batch)):
-                    numbers = [np.frombuffer(batch[c][i].as_py(), "<i4").astype(np.int64) for c in ("symbols", "lengths", "colex")]
-                    total += Shard(batch["factors"][i].as_py(), *numbers).opened().count(cut, inside, len(own))
+                    own_numbers = [numbers(batch, i, c) for c in ("symbols", "lengths", "colex")]
+                    total += Shard(batch["factors"][i].as_py(), *own_numbers).opened().count(cut, inside, len(own))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in some], pa.string()), pa.array(total[some], pa.int64())], names=["gram", "cnt"])
 

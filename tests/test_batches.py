@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from glyphgrid.operators import count
+from glyphgrid.operators import count, grammar
 from glyphgrid.operators.kernels import code_points
+from glyphgrid.plans import text_index
 
 from test_index import plain_count
 
@@ -51,3 +52,23 @@ def test_only_windows_of_patterns_move(spark):
     passed = {r.gram for r in count.PatternFilter(wanted, 50).counts(docs.select("text"), count.batch_texts, [20]).collect()}
     assert {r.pattern for r in wanted.collect()} <= passed
     assert len(passed) < 200
+
+
+def test_texts_come_back_from_a_shard():
+    rnd = random.Random(6)
+    for lam in (1, 4, 7):
+        texts = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 60))) for _ in range(9)] + ["a", "a", "aaaaaaaa"]
+        built = grammar.Shard.build(texts, lam)
+        assert sorted(built.texts()) == sorted(texts)
+
+
+def test_large_batch_searches_no_pattern_by_shard(spark, monkeypatch):
+    """What a large batch costs must not be shards times patterns."""
+    texts = ["banana bandana", "ana", "", None, "the nation"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = [(0, "ana"), (1, "an"), (2, "ana"), (3, "zz"), (4, "the nation"), (5, "n")]
+    monkeypatch.setattr(text_index, "PATTERNS_AT_ONCE", 3)
+    monkeypatch.setattr(text_index, "SHARD_CHARS", 5)
+    monkeypatch.setattr(text_index.TextIndex, "_searched", None)
+    found = text_index.TextIndex.build(docs, 4).count(spark.createDataFrame(wanted, "pattern_id long, pattern string")).collect()
+    assert {r.pattern_id: r.occ for r in found} == {i: sum(plain_count(t, p) for t in texts if t) for i, p in wanted}
